@@ -46,15 +46,15 @@ class Rules:
 def line_verdict(line: str, words: list[str], rules: Rules = Rules()) -> str | None:
     """The name of the first rule that the line, of one word at least, fails."""
     n_words = len(words)
+    links = len(_NAVIGATION.findall(line))
+    if links >= rules.min_navigation and links > rules.max_navigation * n_words:
+        return "navigation"
     if len(SYMBOL.findall(line)) > rules.max_symbols_per_word * n_words and n_words >= 3:
         return "symbols"
     if line.count("!") + line.count("?") > rules.max_shouts_per_word * n_words and n_words >= 4:
         return "punctuation"
     if n_words >= rules.long_line_words and not any(c in line for c in ".!?;:,。！？、；：।؟"):
         return "punctuation"
-    links = len(_NAVIGATION.findall(line))
-    if links >= rules.min_navigation and links > rules.max_navigation * n_words:
-        return "navigation"
     if n_words >= rules.stutter_words and sum(a == b for a, b in zip(words, words[1:])) > rules.max_stutter * n_words:
         return "stutter"
     if n_words >= rules.upper_words:
