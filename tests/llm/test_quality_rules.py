@@ -27,7 +27,7 @@ def test_rules_on_lines():
 
 
 def test_documents(spark):
-    clean = "\n".join(f"Here is sentence number {i} of a text, with w{i} x{i} y{i} z{i} in it." for i in range(20))
+    clean = "\n".join(f"Here{i} is a w{i} x{i} of y{i} in z{i}." for i in range(20))
     rows = [(1, clean, "x"), (2, None, "x"), (3, "", "x"), (4, "Home | News | Sport | About\n" * 20, "x"), (5, clean + "\nHome | News | Sport | About", "x"), (1, clean, "y"), (6, "word " * 200_000, "z")]
     got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
     by = {r.doc_id: r for r in got}

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import table
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, language_model
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, language_model(docs))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
@@ -31,6 +38,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
+    "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
 }
