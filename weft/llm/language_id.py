@@ -93,10 +93,11 @@ class Model:
         """The best sequence of languages: the words' scores less the penalty for each switch; ties go to the earlier language."""
         n, langs = scores.shape
         best = int(scores.sum(axis=0).argmax())
-        # If no run of words gains more elsewhere than one switch costs, the one language is the best path.
+        # If no run of words gains more elsewhere than half a switch costs, the one language is the best path: k runs off it
+        # take k - 1 switches or more.
         gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, langs)), gain[:-1]]), axis=0)
-        if (gain - low).max() <= self.penalty:
+        if (gain - low).max() <= self.penalty / 2:
             return np.full(n, best)
         back = np.empty((n, langs), dtype=np.int16)
         value = scores[0].copy()
