@@ -132,13 +132,13 @@ class Model:
 
 
 def learn(samples: dict[str, list[str]]) -> Model:
-    """From whole texts by language."""
+    """From whole texts by language. A word counts once a text, so that no long or repetitive text outweighs the others."""
     langs = sorted(samples)
     groups: dict[str, Counter] = {}
     words: dict[str, Counter] = {}
     scripts: dict[str, Counter] = {}
     for lang in langs:
-        words[lang] = Counter(w for t in samples[lang] for w in WORD.findall(t.lower()))
+        words[lang] = Counter(w for t in samples[lang] for w in set(WORD.findall(t.lower())))
         groups[lang], scripts[lang] = Counter(), Counter()
         for w, n in words[lang].items():
             scripts[lang][script(w[0])] += n
