@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import table
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, toxicity_model
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, language_model
 
@@ -38,6 +45,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
