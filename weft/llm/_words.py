@@ -132,9 +132,22 @@ def windows(hashes: np.ndarray, row_first: np.ndarray, width: int) -> tuple[np.n
     return out, bounds
 
 
-def distinct_sorted(key: np.ndarray, group: np.ndarray, n_groups: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of each group (ids 0..n_groups-1, non-decreasing), sorted by (order, key) within it, and the n + 1 group bounds. order: small integers, a function of the key."""
-    by = np.lexsort((key, group)) if order is None else np.lexsort((key, order, group))
+def distinct_sorted(key: np.ndarray, group: np.ndarray, n_groups: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of each group (ids 0..n_groups-1, non-decreasing), sorted by (order, key) within it, and the n + 1 group
+    bounds. order: 0 to 255, a function of the key."""
+    bits = max(1, int(n_groups - 1).bit_length())
+    if bits <= 24:
+        # One sort of packed values; in the rare case that different keys look equal in it, the full one.
+        packed = (group.astype(U) << U(64 - bits)) | (order.astype(U) << U(56 - bits)) | (key >> U(8 + bits))
+        by = np.argsort(packed)
+        packed, k, g = packed[by], key[by], group[by]
+        same = packed[1:] == packed[:-1]
+        if not (same & (k[1:] != k[:-1])).any():
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = ~same
+            k, g = k[new], g[new]
+            return k, np.searchsorted(g, np.arange(n_groups + 1))
+    by = np.lexsort((key, order, group))
     key, group = key[by], group[by]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])

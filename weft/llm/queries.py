@@ -22,6 +22,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, language_model
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
