@@ -188,7 +188,8 @@ def candidates(nodes: DataFrame, t: Threshold, store) -> tuple[DataFrame, DataFr
     """From nodes(node, rank, n, bits, several, prefix, cold), the distinct sets: pairs(node, other) of sets and the partner of lowest
     rank in some bucket, and the index rows that may have partners. Buckets of frequent tokens, of which a task can't be
     sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners."""
-    index = nodes.where("size(prefix) > 0").select("node", "rank", "n", "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
+    # Sets so small that only equal ones are similar have no partner.
+    index = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}").select("node", "rank", "n", "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
     passed = store.write(bucket_pass(index.where("i < cold"), t), "passed")
     hot = index.where("i >= cold").select("token", "node", "rank", "n", "i", "bits", "several")
     least = hot.groupBy("token").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
