@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from ._spark import table
 
 
@@ -61,6 +62,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chat(rows.unionByName(added)))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import default_domain, default_weights, mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix(docs, default_domain(docs["source"]), default_weights(spark)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_chat_format": op3_chat_format,
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.oracle_sql()}
