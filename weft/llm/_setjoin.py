@@ -122,8 +122,9 @@ def may_match(a: str, b: str, t: Threshold) -> str:
 
 
 def bucket_pass(index: DataFrame, t: Threshold, pairs_at_once: int = 1 << 21) -> DataFrame:
-    """index(token, node, rank, n, i, bits, several): the prefix tokens of distinct sets. Rows of two kinds: (node, other) for each set
-    and token, its passing partner of lowest rank, if that's below its own; and, other null, the index rows that have a partner.
+    """index(token, node, rank, n, i, bits, several): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank) with
+    a set's passing partner of lowest rank in this task's buckets, if that's below its own; and, other null, the index rows
+    that have a partner.
     """
     rows = index.repartition("token").select("token", "node", "rank", "n", "i", "bits", "several")
 
@@ -175,29 +176,32 @@ def bucket_pass(index: DataFrame, t: Threshold, pairs_at_once: int = 1 << 21) ->
             return
         yield pa.RecordBatch.from_pydict({"node": node[linked], "other": pa.nulls(len(linked), pa.int64()), "token": token[linked], "rank": rank[linked], "n": n[linked].astype(np.int32), "i": i[linked].astype(np.int32), "bits": bits[linked], "several": several[linked]})
         first = np.flatnonzero(best < place)
-        pair = np.unique(np.column_stack([node[first], node[order[best[first]]]]), axis=0) if len(first) else np.zeros((0, 2), np.int64)
-        m = len(pair)
-        if m:
-            none, zero = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_pydict({"node": pair[:, 0], "other": pair[:, 1], "token": none, "rank": none, "n": zero, "i": zero, "bits": none, "several": pa.nulls(m, pa.bool_())})
+        first = first[np.lexsort((best[first], node[first]))]
+        once = np.ones(len(first), dtype=bool)
+        once[1:] = node[first[1:]] != node[first[:-1]]
+        first = first[once]
+        if m := len(first):
+            other, zero = order[best[first]], pa.nulls(m, pa.int32())
+            yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[other], "token": pa.nulls(m, pa.int64()), "rank": rank[other], "n": zero, "i": zero, "bits": pa.nulls(m, pa.int64()), "several": pa.nulls(m, pa.bool_())})
 
     return rows.mapInArrow(run, "node long, other long, token long, rank long, n int, i int, bits long, several boolean")
 
 
 def candidates(nodes: DataFrame, t: Threshold, store) -> tuple[DataFrame, DataFrame]:
-    """From nodes(node, rank, n, bits, several, prefix, cold), the distinct sets: pairs(node, other) of sets and the partner of lowest
-    rank in some bucket, and the index rows that may have partners. Buckets of frequent tokens, of which a task can't be
-    sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners."""
+    """From nodes(node, rank, n, bits, several, prefix, cold), the distinct sets: pairs(node, other) of each set and its partner of
+    lowest rank, if that's below its own; and the index rows that may have partners. Buckets of frequent tokens, of which
+    a task can't be sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners."""
     # Sets so small that only equal ones are similar have no partner.
-    index = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}").select("node", "rank", "n", "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
+    index = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}").select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
     passed = store.write(bucket_pass(index.where("i < cold"), t), "passed")
+    store.release()
     hot = index.where("i >= cold").select("token", "node", "rank", "n", "i", "bits", "several")
     least = hot.groupBy("token").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     heads = hot.join(least, ["token", "rank"], "left_semi")
-    starred = hot.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}")).select("a.node", F.col("b.node").alias("other"))
-    pairs = passed.where("other IS NOT NULL").select("node", "other").union(starred)
+    starred = hot.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}")).select("a.node", F.col("b.node").alias("other"), "b.rank")
+    pairs = passed.where("other IS NOT NULL").select("node", "other", "rank").union(starred).groupBy("node").agg(F.min_by("other", "rank").alias("other"))
     live = passed.where("other IS NULL").select("token", "node", "rank", "n", "i", "bits", "several").union(hot)
-    return store.write(pairs.distinct(), "pairs"), store.write(live, "live")
+    return store.write(pairs, "pairs"), store.write(live, "live")
 
 
 def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ class Stored:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's
+        next collection of garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str | None = None) -> None:
         """Deletes a table, or all of them, once nothing reads it any more."""
         jvm = self.spark._jvm

@@ -94,23 +94,26 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
     sets = store.write(document_sets(docs, width, t, levels, hot_rows), "sets")
 
     known = sets.where("node IS NOT NULL")
-    members = known.where("prefix IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "unit", "cold", "prefix")])
-    members = store.write(members, "members")
     # A group of one prefix and size is indexed once, under its least member, the head. Pairs of heads expand to pairs of
     # each member and the other's head; members meet their own head as well.
-    sizes = members.groupBy("unit").agg(F.min("node").alias("head"), (F.count("*") > 1).alias("several"))
-    grouped = store.write(members.join(sizes, "unit"), "grouped")
-    groups = grouped.where("node = head").select("node", F.col("node").alias("rank"), "n", "bits", "several", "prefix", "cold")
+    groups = known.where("prefix IS NOT NULL").groupBy("unit").agg(
+        F.min("node").alias("node"), (F.min("node") < F.max("node")).alias("several"), F.min_by("bits", "node").alias("bits"), *[F.first(c).alias(c) for c in ("n", "cold", "prefix")]
+    )
+    groups = store.write(groups.withColumn("rank", F.col("node")), "groups")
+    store.release()
     met, live = candidates(groups, t, store)
-    of = grouped.where("several").select("head", F.col("node").alias("member"), F.col("bits").alias("own"))
+    several = groups.where("several").select("unit", F.col("node").alias("head"))
+    of = store.write(known.select("unit", "node", "n", "bits").join(several, "unit").distinct(), "members")
+    own = of.select(F.col("head").alias("node"), F.col("node").alias("member"), F.col("bits").alias("own"))
     met = met.union(met.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    expanded = met.join(of.select(F.col("head").alias("node"), "member"), "node").select(F.col("member").alias("node"), "other")
-    inside = of.where("member <> head").select(F.col("member").alias("node"), F.col("head").alias("other"))
+    expanded = met.join(own, "node").select(F.col("member").alias("node"), "other")
+    inside = of.where("node <> head").select("node", F.col("head").alias("other"))
     pairs = met.union(expanded).union(inside).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
     pairs = store.write(pairs.where("node <> other").distinct(), "all-pairs")
-    live = live.join(of.withColumnRenamed("head", "node"), "node", "left").select("token", F.coalesce("member", "node").alias("node"), "n", "i", F.coalesce("own", "bits").alias("bits"))
-    inner = grouped.where("several").select(F.col("unit").alias("token"), "node", "n", F.lit(0).alias("i"), "bits")
+    live = live.join(own, "node", "left").select("token", F.coalesce("member", "node").alias("node"), "n", "i", F.coalesce("own", "bits").alias("bits"))
+    inner = of.select(F.col("unit").alias("token"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("i"), "bits")
     live = store.write(live.union(inner), "live-members")
+    store.release()
 
     needed = store.write(pairs.select("node").union(pairs.select("other")).union(live.select("node")).distinct(), "needed")
     ids = known.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -119,6 +122,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
 
     first = store.write(verify(pairs, arrays, t), "first")
     labels = components(first, store, "a")
+    store.release()
     # Buckets whose sets aren't all of one class yet: rows alike in class, size and place stand for each other until the filters are passed.
     open_rows = live.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = open_rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
