@@ -45,11 +45,21 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
+        waiting: list[np.ndarray] = []
         some = False
+
+        def flush() -> None:
+            if waiting:
+                np.add(total, np.bincount(np.concatenate(waiting), minlength=size), out=total)
+                waiting.clear()
+
         for b in batches:
             for t in tokens(b.column(0)):
-                total += np.bincount((t >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                waiting.append((t >> U(64 - SKETCH_BITS)).astype(np.int64))
                 some = some or len(t) > 0
+                if sum(map(len, waiting)) > 2 * size:
+                    flush()
+        flush()
         if some:
             small = np.minimum(total, (1 << 31) - 1).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), type=pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(small, _CHUNKS)], type=pa.binary())})
@@ -121,7 +131,7 @@ def may_match(a: str, b: str, t: Threshold) -> str:
     )
 
 
-def bucket_pass(index: DataFrame, t: Threshold, pairs_at_once: int = 1 << 21) -> DataFrame:
+def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_once: int = 1 << 21) -> DataFrame:
     """index(token, node, rank, n, i, bits, several): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank) with
     a set's passing partner of lowest rank in this task's buckets, if that's below its own; and, other null, the index rows
     that have a partner.
@@ -136,7 +146,12 @@ def bucket_pass(index: DataFrame, t: Threshold, pairs_at_once: int = 1 << 21) ->
         got.clear()
         token, node, rank, n, i, bits, several = (table.column(k).to_numpy() for k in range(7))
         del table
-        by = np.argsort(token, kind="stable")
+        by = np.lexsort((rank, node, token)) if merge else np.argsort(token)
+        if merge:  # of a set told by several tasks, the row of lowest rank
+            t0, n0 = token[by], node[by]
+            new = np.ones(len(by), dtype=bool)
+            new[1:] = (t0[1:] != t0[:-1]) | (n0[1:] != n0[:-1])
+            by = by[new]
         sorted_token = token[by]
         same = sorted_token[1:] == sorted_token[:-1]
         many = np.zeros(len(by), dtype=bool)
@@ -187,20 +202,23 @@ def bucket_pass(index: DataFrame, t: Threshold, pairs_at_once: int = 1 << 21) ->
     return rows.mapInArrow(run, "node long, other long, token long, rank long, n int, i int, bits long, several boolean")
 
 
-def candidates(nodes: DataFrame, t: Threshold, store) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tuple[DataFrame, DataFrame]:
     """From nodes(node, rank, n, bits, several, prefix, cold), the distinct sets: pairs(node, other) of each set and its partner of
     lowest rank, if that's below its own; and the index rows that may have partners. Buckets of frequent tokens, of which
-    a task can't be sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners."""
+    a task can't be sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners. merge: nodes may hold a set several
+    times, with different ranks, of which the lowest counts."""
     # Sets so small that only equal ones are similar have no partner.
     index = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}").select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
-    passed = store.write(bucket_pass(index.where("i < cold"), t), "passed")
+    passed = store.write(bucket_pass(index.where("i < cold"), t, merge), "passed")
     store.release()
     hot = index.where("i >= cold").select("token", "node", "rank", "n", "i", "bits", "several")
+    if merge:
+        hot = hot.groupBy("token", "node", "n", "i", "bits", "several").agg(F.min("rank").alias("rank")).select(*hot.columns)
     least = hot.groupBy("token").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     heads = hot.join(least, ["token", "rank"], "left_semi")
     starred = hot.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}")).select("a.node", F.col("b.node").alias("other"), "b.rank")
     pairs = passed.where("other IS NOT NULL").select("node", "other", "rank").union(starred).groupBy("node").agg(F.min_by("other", "rank").alias("other"))
-    live = passed.where("other IS NULL").select("token", "node", "rank", "n", "i", "bits", "several").union(hot)
+    live = passed.where("other IS NULL").select(*hot.columns).union(hot)
     return store.write(pairs, "pairs"), store.write(live, "live")
 
 

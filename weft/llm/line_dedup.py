@@ -24,34 +24,59 @@ def _lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, end, w.hash, np.searchsorted(breaks, w.start) + row, row_line
 
 
-def line_sets(docs: DataFrame, t: Threshold, levels: np.ndarray, hot_rows: int) -> DataFrame:
-    """place, key, line, n, node, bits, cold and prefix of each line with a word, of docs(place, key, text)."""
+#: Lines that a task holds before it tells their distinct sets.
+LINES_HELD = 1 << 17
+
+
+def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_rows: int) -> DataFrame:
+    """Rows of two kinds from docs(place, key, text). rank, key and node of each line with a word, prefix null; and of each
+    distinct set that may have partners, once a task as far as it remembers, node, its lowest rank there, n, bits, cold and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    def tell(held: list[tuple]) -> pa.RecordBatch:
+        node, rank, n, bits, cold = (np.concatenate([h[k] for h in held]) for k in range(5))
+        prefix = pa.concat_arrays([h[5] for h in held])
+        by = np.lexsort((rank, node))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = node[by[1:]] != node[by[:-1]]
+        by = by[new]
+        return pa.RecordBatch.from_pydict({"rank": rank[by], "key": pa.nulls(len(by), pa.int64()), "node": node[by], "n": n[by], "bits": bits[by], "cold": cold[by], "prefix": prefix.take(pa.array(by))})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = shared.value, set()
+        levels, held, n_held = shared.value, [], 0
         for b in batches:
+            place, key = b.column(0).to_numpy(), b.column(1).to_numpy()
             for first, end, hashes, line, row_line in _lines(b.column(2)):
                 s = make_sets(hashes, line, int(row_line[-1]), levels)
-                fresh = np.zeros(len(s.n), dtype=bool)  # a set's prefix is told once a task, as long as it remembers
-                for k in np.flatnonzero(s.n * (t.den - t.num) >= t.num).tolist():
-                    if (x := int(s.node[k])) not in seen:
-                        fresh[k] = True
-                        seen.add(x)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                prefix, cold = prefixes(s, fresh, t), cold_tokens(s, levels, hot_rows, t)
+                row = np.repeat(np.arange(first, end), np.diff(row_line))
+                rank = place[row] * room + np.arange(len(s.n)) - row_line[row - first]
                 some = np.flatnonzero(s.n)
-                row = np.searchsorted(row_line, some, "right") - 1
-                at = pa.array(row + first)
+                m = len(some)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "place": b.column(0).take(at), "key": b.column(1).take(at), "line": (some - row_line[row]).astype(np.int32), "n": s.n[some].astype(np.int64),
-                        "node": s.node[some], "bits": s.bits[some], "cold": cold[some], "prefix": prefix.take(pa.array(some)),
+                        "rank": rank[some], "key": key[row[some]], "node": s.node[some], "n": pa.nulls(m, pa.int32()), "bits": pa.nulls(m, pa.int64()),
+                        "cold": pa.nulls(m, pa.int32()), "prefix": pa.nulls(m, pa.list_(pa.int64())),
                     }
                 )
-
-    return docs.mapInArrow(run, "place long, key long, line int, n long, node long, bits long, cold int, prefix array<long>")
+                # Of a set's copies in the chunk, the lowest rank.
+                large = np.flatnonzero(s.n * (t.den - t.num) >= t.num)
+                large = large[np.lexsort((rank[large], s.node[large]))]
+                new = np.ones(len(large), dtype=bool)
+                new[1:] = s.node[large[1:]] != s.node[large[:-1]]
+                large = large[new]
+                fresh = np.zeros(len(s.n), dtype=bool)
+                fresh[large] = True
+                large = np.flatnonzero(fresh)
+                prefix = prefixes(s, fresh, t).take(pa.array(large))
+                held.append((s.node[large], rank[large], s.n[large].astype(np.int32), s.bits[large], cold_tokens(s, levels, hot_rows, t)[large], prefix))
+                n_held += len(large)
+                if n_held >= LINES_HELD:
+                    yield tell(held)
+                    held, n_held = [], 0
+        if held:
+            yield tell(held)
+
+    return docs.mapInArrow(run, "rank long, key long, node long, n int, bits long, cold int, prefix array<long>")
 
 
 def _line_arrays(docs: DataFrame) -> DataFrame:
@@ -73,44 +98,51 @@ def _line_arrays(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens binary")
 
 
-def _places(docs: DataFrame, store: Stored) -> tuple[DataFrame, int]:
-    """docs with ``place``, a whole number that orders rows by doc_id, nulls first, and the number of lines that fits beside it."""
+def _places(docs: DataFrame, store: Stored) -> tuple[DataFrame, int, DataFrame | None, int]:
+    """docs with ``place``, a whole number that orders rows by doc_id, nulls first; the number of lines that fits beside it; and
+    what gives doc_id back: a table of places, or else the doc_id of place 0, which is null's, were it one."""
     lo, hi, lines = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
     room = 1 << max(1, int((lines or 0) + 1).bit_length())
     if lo is None or (hi - lo + 2) * room < 1 << 62:
-        return docs.withColumn("place", F.coalesce(F.col("doc_id") - F.lit(lo or 0) + 1, F.lit(0)).cast("long")), room
+        return docs.withColumn("place", F.coalesce(F.col("doc_id") - F.lit(lo or 0) + 1, F.lit(0)).cast("long")), room, None, (lo or 0) - 1
     ranked = docs.select("doc_id").distinct().orderBy(F.col("doc_id").asc_nulls_first()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
     ranked = store.write(docs.sparkSession.createDataFrame(ranked, f"__id {docs.schema['doc_id'].dataType.simpleString()}, place long"), "places")
-    return docs.join(ranked, docs["doc_id"].eqNullSafe(ranked["__id"])).drop("__id"), room
+    return docs.join(ranked, docs["doc_id"].eqNullSafe(ranked["__id"])).drop("__id"), room, ranked, 0
 
 
 def later_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), hot_rows: int = 1 << 17) -> DataFrame:
     """(doc_id, key, gone: line numbers) of the rows of docs(doc_id, text, key) that lose lines."""
     t, spark = threshold, docs.sparkSession
     store = Stored(spark, "lines")
-    docs, room = _places(docs, store)
+    docs, room, ranked, shift = _places(docs, store)
     levels = sketch(docs.select("text"), lambda column: (h for _, _, h, _, _ in _lines(column)))
-    lines = store.write(line_sets(docs.select("place", "key", "text"), t, levels, hot_rows), "lines")
-    rank = F.col("place") * room + F.col("line")
-    nodes = lines.groupBy("node").agg(F.min(rank).alias("rank"))
-    told = lines.where("prefix IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "cold", "prefix")])
-    pairs, live = candidates(told.join(nodes, "node").withColumn("several", F.lit(False)), t, store)
+    told = store.write(line_sets(docs.select("place", "key", "text"), t, room, levels, hot_rows), "lines")
+    lines, sets = told.where("prefix IS NULL").select("rank", "key", "node"), told.where("prefix IS NOT NULL").select("node", "rank", "n", "bits", "cold", "prefix")
+    pairs, live = candidates(sets.withColumn("several", F.lit(False)), t, store, merge=True)
 
-    needed = store.write(pairs.select("node").union(pairs.select("other")).union(live.select("node")).distinct().join(nodes, "node"), "needed")
+    needed = store.write(live.select("node", "rank").distinct(), "needed")
     wanted = needed.select(F.expr(f"rank div {room}").alias("place"), F.expr(f"cast(rank % {room} as int)").alias("line")).groupBy("place").agg(F.collect_set("line").alias("wanted"))
-    arrays = store.write(_line_arrays(docs.where(F.col("text").isNotNull()).join(wanted, "place").select("text", "wanted")).join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "arrays")
+    arrays = _line_arrays(docs.where(F.col("text").isNotNull()).join(wanted, "place").select("text", "wanted"))
+    arrays = store.write(arrays.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "arrays")
+    store.release()
     first = store.write(verify(pairs, arrays, t).select("node").distinct(), "first")
 
     # Sets whose first partner wasn't similar after all, against all earlier ones of their buckets.
     open_rows = live.join(first, "node", "left_anti")
     more = open_rows.alias("a").join(live.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}"))
     more = more.select("a.node", F.col("b.node").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
-    second = verify(more, arrays, t).select("node")
-    similar = store.write(first.union(second).distinct(), "similar")
-
-    marks = nodes.join(similar.withColumn("similar", F.lit(True)), "node", "left")
-    gone = lines.select("place", "key", "line", "node").join(marks, "node").where(F.col("similar") | (rank > F.col("rank")))
-    return docs.select("place", "key", "doc_id").join(gone.groupBy("place", "key").agg(F.collect_set("line").alias("gone")), ["place", "key"]).select("doc_id", "key", "gone").distinct()
+    similar = store.write(first.union(verify(more, arrays, t).select("node")).distinct(), "similar")
+
+    marks = lines.groupBy("node").agg(F.min("rank").alias("least")).join(similar.withColumn("similar", F.lit(True)), "node", "left")
+    gone = lines.join(marks, "node").where(F.col("similar") | (F.col("rank") > F.col("least")))
+    gone = gone.groupBy(F.expr(f"rank div {room}").alias("place"), "key").agg(F.collect_set(F.expr(f"cast(rank % {room} as int)")).alias("gone"))
+    if ranked is None:
+        gone = gone.select(F.when(F.col("place") > 0, F.col("place") + shift).alias("doc_id"), "key", "gone")
+    else:
+        gone = gone.join(ranked, "place").select(F.col("__id").alias("doc_id"), "key", "gone")
+    gone = store.write(gone, "gone")
+    store.release()
+    return gone
 
 
 def dedup_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), counts: bool = False, hot_rows: int = 1 << 17) -> DataFrame:
