@@ -52,11 +52,11 @@ def near_copies(seed, n=40):
     return [*rows, (2000, None, "k"), (2001, " \n", "k"), (2002, "", "k"), rows[0], (None, rows[1][1], "k"), (None, "all alone in here", "k"), (2003, "long text " * 60_000, "k"), (2004, "long text " * 60_000 + "end", "k")]
 
 
-@pytest.mark.parametrize("seed,hot_rows", [(1, 1 << 17), (2, 1 << 17), (3, 2), (4, 8)])
-def test_against_brute_force(spark, seed, hot_rows):
+@pytest.mark.parametrize("seed,hot_rows,few,rounds", [(1, 1 << 17, 4, 8), (2, 1 << 17, 0, 3), (3, 2, 0, 0), (4, 8, 0, 2)])
+def test_against_brute_force(spark, seed, hot_rows, few, rounds):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
-    got = jaccard_classes(df, hot_rows=hot_rows).collect()
+    got = jaccard_classes(df, hot_rows=hot_rows, few=few, rounds=rounds).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 

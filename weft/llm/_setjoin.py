@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small
 from ._words import U, distinct_sorted, mix
 
 #: Counters of the sketch: a fixed size, whatever the input.
-SKETCH_BITS = 20
-_CHUNKS = 16
+SKETCH_BITS = 22
+_CHUNKS = 64
 
 
 @dataclass(frozen=True)
@@ -61,17 +62,21 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
                     flush()
         flush()
         if some:
-            small = np.minimum(total, (1 << 31) - 1).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), type=pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(small, _CHUNKS)], type=pa.binary())})
+            # One byte each, and what is beyond it as (place, rest).
+            low = np.minimum(total, 255).astype(np.uint8)
+            for k, (x, y) in enumerate(zip(np.split(low, _CHUNKS), np.split(total, _CHUNKS), strict=True)):
+                at = np.flatnonzero(y > 255)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], type=pa.int32()), "counts": pa.array([x.tobytes()], type=pa.binary()), "at": pa.array([at]), "rest": pa.array([y[at] - 255])})
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(size // _CHUNKS, dtype=np.int64)
-        for x in rows.column("counts"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.int32)
+        for x, at, rest in zip(rows.column("counts"), rows.column("at"), rows.column("rest"), strict=True):
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
+            np.add.at(total, at.values.to_numpy(), rest.values.to_numpy())
         level = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
         return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], type=pa.int32()), "levels": pa.array([level.tobytes()], type=pa.binary())})
 
-    parts = texts.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
+    parts = texts.mapInArrow(count, "chunk int, counts binary, at array<long>, rest array<long>").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
     levels = np.zeros(size, dtype=np.uint8)
     for r in parts:
         levels[r.chunk * (size // _CHUNKS) : (r.chunk + 1) * (size // _CHUNKS)] = np.frombuffer(r.levels, dtype=np.uint8)
@@ -102,11 +107,11 @@ def make_sets(tokens: np.ndarray, group: np.ndarray, n_groups: int, levels: np.n
 
 
 def prefixes(s: Sets, which: np.ndarray, t: Threshold) -> pa.Array:
-    """Prefixes of the sets ``which`` marks; null of the others."""
+    """Prefixes of the sets ``which`` marks, 32 bits a token, which only chooses a bucket; null of the others."""
     size = np.where(which, t.prefix(s.n), 0)
     at = np.concatenate([[0], np.cumsum(size)])
     take = np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(s.bounds[:-1], size)
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.tokens[take].view(np.int64)), mask=pa.array(~which))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((s.tokens[take] >> U(32)).astype(np.uint32).view(np.int32)), mask=pa.array(~which))
 
 
 def cold_tokens(s: Sets, levels: np.ndarray, hot_rows: int, t: Threshold) -> np.ndarray:
@@ -197,9 +202,9 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
         first = first[once]
         if m := len(first):
             other, zero = order[best[first]], pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[other], "token": pa.nulls(m, pa.int64()), "rank": rank[other], "n": zero, "i": zero, "bits": pa.nulls(m, pa.int64()), "several": pa.nulls(m, pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[other], "token": pa.nulls(m, pa.int32()), "rank": rank[other], "n": zero, "i": zero, "bits": pa.nulls(m, pa.int64()), "several": pa.nulls(m, pa.bool_())})
 
-    return rows.mapInArrow(run, "node long, other long, token long, rank long, n int, i int, bits long, several boolean")
+    return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean")
 
 
 def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -208,25 +213,57 @@ def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tu
     a task can't be sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners. merge: nodes may hold a set several
     times, with different ranks, of which the lowest counts."""
     # Sets so small that only equal ones are similar have no partner.
-    index = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}").select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
-    passed = store.write(bucket_pass(index.where("i < cold"), t, merge), "passed")
+    nodes = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}")
+    columns = ["token", "node", "rank", "n", "i", "bits", "several"]
+    index = lambda rows: rows.select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
+    passed = store.write(bucket_pass(index(nodes).where("i < cold").select(*columns), t, merge), "passed")
     store.release()
-    hot = index.where("i >= cold").select("token", "node", "rank", "n", "i", "bits", "several")
+    hot = index(nodes.where("cold < size(prefix)")).where("i >= cold").select(*columns)
     if merge:
-        hot = hot.groupBy("token", "node", "n", "i", "bits", "several").agg(F.min("rank").alias("rank")).select(*hot.columns)
+        hot = hot.groupBy("token", "node", "n", "i", "bits", "several").agg(F.min("rank").alias("rank")).select(*columns)
+    hot = store.write(hot, "hot")
     least = hot.groupBy("token").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     heads = hot.join(least, ["token", "rank"], "left_semi")
     starred = hot.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}")).select("a.node", F.col("b.node").alias("other"), "b.rank")
     pairs = passed.where("other IS NOT NULL").select("node", "other", "rank").union(starred).groupBy("node").agg(F.min_by("other", "rank").alias("other"))
-    live = passed.where("other IS NULL").select(*hot.columns).union(hot)
+    live = passed.where("other IS NULL").select(*columns).union(hot)
     return store.write(pairs, "pairs"), store.write(live, "live")
 
 
-def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
+def signature(s: Sets, which: np.ndarray) -> pa.Array:
+    """Parity bitmaps of 1024 bits of the sets ``which`` names."""
+    out = np.zeros((len(which), 1024), dtype=np.uint8)
+    slot = (mix(s.tokens ^ U(0x3C79AC492BA7B653)) >> U(54)).astype(np.int64)
+    for row, k in enumerate(which):
+        out[row] = np.bincount(slot[s.bounds[k] : s.bounds[k + 1]], minlength=1024) & 1
+    packed = np.packbits(out, axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(128), len(which), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+
+
+def screen(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs(node, other) that the 1024-bit signatures in marks(node, n, sig) can't rule out."""
+    a = marks.select("node", F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    b = marks.select(F.col("node").alias("other"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    both = pairs.select("node", "other").join(a, "node").join(b, "other").select("node", "other", "n_a", "n_b", "sig_a", "sig_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                na, nb = (x.column(k).to_numpy() for k in (2, 3))
+                a, b = (np.frombuffer(b"".join(x.column(k).to_pylist()), dtype=U).reshape(-1, 16) for k in (4, 5))
+                keep = np.bitwise_count(a ^ b).sum(axis=1) <= na + nb - 2 * t.overlap(na + nb)
+                yield x.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "node long, other long")
+
+
+def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold, store, name: str) -> DataFrame:
     """The pairs(node, other), distinct, whose sets in arrays(node, tokens binary: sorted 64-bit values) are similar enough."""
-    a = arrays.select("node", F.col("tokens").alias("own"))
-    b = arrays.select(F.col("node").alias("other"), F.col("tokens").alias("its"))
-    both = pairs.select("node", "other").distinct().join(a, "node").join(b, "other").select("node", "other", "own", "its")
+    pairs = store.write(pairs.select("node", "other").distinct(), f"{name}-asked")
+    others = store.write(pairs.select("other").distinct(), f"{name}-others")
+    own = arrays.select("node", F.col("tokens").alias("own")).join(small(pairs), "node")
+    its = arrays.select(F.col("node").alias("other"), F.col("tokens").alias("its")).join(small(others), "other", "left_semi")
+    both = own.join(its, "other").select("node", "other", "own", "its")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +277,7 @@ def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(t.den * common >= t.num * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.mapInArrow(run, "node long, other long")
+    return store.write(both.mapInArrow(run, "node long, other long"), name)
 
 
 def components(links: DataFrame, store, name: str) -> DataFrame:

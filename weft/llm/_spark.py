@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,15 @@ class Stored:
 
 
 
+#: Rows of ids, or short lists of them, that are broadcast at most; beyond it the same join shuffles.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(stored: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has ``limit`` rows or fewer."""
+    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; a ValueError names any that's missing."""
     missing = [n for n in names if n not in df.columns]

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._setjoin import Threshold, candidates, cold_tokens, components, make_sets, prefixes, sketch, verify
-from ._spark import Stored, pick
+from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, components, make_sets, may_match, prefixes, screen, signature, sketch, verify
+from ._spark import Stored, pick, small
 from ._words import SPACED, U, chunks, mix, windows, words
 
 
@@ -29,12 +29,17 @@ def _unit(prefix: pa.Array, n: np.ndarray) -> np.ndarray:
     at = prefix.offsets.to_numpy()
     sums = np.zeros(len(prefix.values) + 1, dtype=U)
     if len(prefix.values):
-        np.cumsum(mix(prefix.values.to_numpy().view(U) ^ U(0x6C62272E07BB0142)), out=sums[1:])
+        np.cumsum(mix(prefix.values.to_numpy().astype(np.int64).view(U) ^ U(0x6C62272E07BB0142)), out=sums[1:])
     return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(n.astype(U))).view(np.int64)
 
 
+def _sparse(values: pa.Array, where: np.ndarray) -> pa.Array:
+    """values at the places that ``where`` marks, nulls elsewhere."""
+    return values.take(pa.array(np.cumsum(where) - 1, mask=~where))
+
+
 def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray, hot_rows: int) -> DataFrame:
-    """doc_id, n, node, bits, unit, cold and prefix of each row; n is 0 and node null without words."""
+    """doc_id, n, node, bits, unit, cold, prefix and sig of each row; n is 0 and node null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -56,29 +61,44 @@ def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray,
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": b.column(0).slice(first, rows), "n": pa.array(s.n.astype(np.int64)), "node": pa.array(s.node, mask=~some), "bits": s.bits,
-                        "unit": _unit(prefix, s.n), "cold": cold_tokens(s, levels, hot_rows, t), "prefix": prefix,
+                        "unit": _unit(prefix, s.n), "cold": cold_tokens(s, levels, hot_rows, t), "prefix": prefix, "sig": _sparse(signature(s, np.flatnonzero(fresh)), fresh),
                     }
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, bits long, unit long, cold int, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary")
 
 
-def _arrays(docs: DataFrame, width: int) -> DataFrame:
-    """node and sorted tokens of each row with words."""
+class _Arrays:
+    """Whole sets of the documents that pairs name, read from their texts when they're asked for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(1 << 20, dtype=np.uint8)
-        for b in batches:
-            for first, end, tokens, bounds in _shingles(b.column(0), width):
-                rows = end - first
-                s = make_sets(tokens, np.repeat(np.arange(rows), np.diff(bounds)), rows, none)
-                some = np.flatnonzero(s.n)
-                yield pa.RecordBatch.from_pydict({"node": s.node[some], "tokens": pa.array([s.tokens[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in some], type=pa.binary())})
+    def __init__(self, docs: DataFrame, known: DataFrame, width: int, store: Stored):
+        self.docs, self.known, self.width, self.store, self.asked = docs, known, width, store, 0
 
-    return docs.select("text").mapInArrow(run, "node long, tokens binary")
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """node and sorted tokens of the nodes of stored pairs(node, other)."""
+        self.asked += 1
+        name = f"arrays-{self.asked}"
+        nodes = self.store.write(pairs.select("node").union(pairs.select("other")).distinct(), f"{name}-nodes")
+        ids = self.store.write(self.known.select("node", "doc_id").join(small(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), f"{name}-ids")
+        texts = self.docs.join(small(ids), self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        return self.store.write(self.read(texts).join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), name)
 
+    def read(self, docs: DataFrame) -> DataFrame:
+        width = self.width
 
-def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+            for b in batches:
+                for first, end, tokens, bounds in _shingles(b.column(0), width):
+                    rows = end - first
+                    s = make_sets(tokens, np.repeat(np.arange(rows), np.diff(bounds)), rows, none)
+                    some = np.flatnonzero(s.n)
+                    yield pa.RecordBatch.from_pydict({"node": s.node[some], "tokens": pa.array([s.tokens[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in some], type=pa.binary())})
+
+        return docs.select("text").mapInArrow(run, "node long, tokens binary")
+
+
+def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text).
 
     A document's set is its distinct ``width``-word shingles, lower-cased in A-Z (all its words if fewer); two rows link if
@@ -115,18 +135,37 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
     live = store.write(live.union(inner), "live-members")
     store.release()
 
-    needed = store.write(pairs.select("node").union(pairs.select("other")).union(live.select("node")).distinct(), "needed")
-    ids = known.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    arrays = store.write(_arrays(texts, width).join(needed, "node", "left_semi").dropDuplicates(["node"]), "arrays")
-
-    first = store.write(verify(pairs, arrays, t), "first")
-    labels = components(first, store, "a")
+    marks = store.write(known.where("sig IS NOT NULL").select("node", "n", "sig", "doc_id").join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "marks")
+    pairs = store.write(screen(pairs, marks, t), "screened")
+    arrays = _Arrays(docs, known, width, store)
+    links = verify(pairs, arrays.of(pairs), t, store, "links-0")
+    labels = components(links, store, "labels-0")
     store.release()
-    # Buckets whose sets aren't all of one class yet: rows alike in class, size and place stand for each other until the filters are passed.
-    open_rows = live.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = open_rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_rows = store.write(open_rows.join(mixed, "token", "left_semi"), "open")
+
+    # Buckets whose sets aren't all of one class yet. Round by round, each set meets a few sets of other classes of its
+    # buckets, drawn anew each time, so that a large class gathers those that belong to it without meeting pair by pair.
+    step = 0
+    while True:
+        open_rows = live.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = open_rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        open_rows = store.write(open_rows.join(mixed, "token", "left_semi"), f"open-{step}")
+        by_comp = open_rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
+        rows, pairs_left = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
+        if not rows or pairs_left <= few * rows or step == rounds:
+            break
+        step += 1
+        drawn = open_rows.withColumn("lot", F.xxhash64("node", F.lit(step))).withColumn("urn", F.pmod("lot", F.lit(2)))
+        heads = drawn.join(drawn.groupBy("token", "urn").agg(F.min("lot").alias("lot")), ["token", "urn", "lot"], "left_semi").withColumn("several", F.lit(False))
+        met = open_rows.withColumn("several", F.lit(False)).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)}"))
+        met = met.select("a.node", F.col("b.node").alias("other"), F.xxhash64("a.node", "b.node", F.lit(step)).alias("lot"))
+        met = met.groupBy("node", F.pmod("lot", F.lit(2)).alias("urn")).agg(F.min_by("other", "lot").alias("other"))
+        met = store.write(screen(met, marks, t), f"met-{step}")
+        new = verify(met, arrays.of(met), t, store, f"links-{step}")
+        links = links.union(new)
+        labels = components(links, store, f"labels-{step}")
+        store.release()
+
+    # What is left, whole: rows alike in class, size and place stand for each other until the filters are passed.
     kinds = open_rows.groupBy("token", "comp", "n", "i").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi"))
     # A bitmap filters where all rows of a kind have the same one.
     sides = [kinds.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "i", "lo", "hi")]) for x in "ab"]
@@ -139,9 +178,10 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
     row = lambda x: open_rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"i_{x}"), F.col("node").alias(f"node_{x}"), F.col("bits").alias(f"bits_{x}"))
     spread = met.join(row("a"), ["token", "comp_a", "n_a", "i_a"]).join(row("b"), ["token", "comp_b", "n_b", "i_b"]).where(f"bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {least}")
     more = spread.select(F.least("node_a", "node_b").alias("node"), F.greatest("node_a", "node_b").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
-    second = store.write(verify(more, arrays, t), "second")
+    more = store.write(screen(more, marks, t), "more")
+    second = verify(more, arrays.of(more), t, store, "links-more")
     if second.limit(1).count():
-        labels = components(first.union(second), store, "b")
+        labels = components(links.union(second), store, "labels-more")
 
     names = known.groupBy("node").agg(F.min("doc_id").alias("least"))
     names = names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

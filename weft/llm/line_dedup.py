@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._setjoin import Threshold, candidates, cold_tokens, make_sets, may_match, prefixes, sketch, verify
-from ._spark import Stored, pick
+from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, make_sets, may_match, prefixes, sketch, verify
+from ._spark import Stored, pick, small
 from ._words import SPACED, chunks, words
 
 
@@ -55,7 +55,7 @@ def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_
                 yield pa.RecordBatch.from_pydict(
                     {
                         "rank": rank[some], "key": key[row[some]], "node": s.node[some], "n": pa.nulls(m, pa.int32()), "bits": pa.nulls(m, pa.int64()),
-                        "cold": pa.nulls(m, pa.int32()), "prefix": pa.nulls(m, pa.list_(pa.int64())),
+                        "cold": pa.nulls(m, pa.int32()), "prefix": pa.nulls(m, pa.list_(pa.int32())),
                     }
                 )
                 # Of a set's copies in the chunk, the lowest rank.
@@ -76,14 +76,14 @@ def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_
         if held:
             yield tell(held)
 
-    return docs.mapInArrow(run, "rank long, key long, node long, n int, bits long, cold int, prefix array<long>")
+    return docs.mapInArrow(run, "rank long, key long, node long, n int, bits long, cold int, prefix array<int>")
 
 
 def _line_arrays(docs: DataFrame) -> DataFrame:
     """node and sorted words of the lines named in docs(text, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(1 << 20, dtype=np.uint8)
+        none = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for b in batches:
             picked: list[str] = []
             for text, wanted in zip(b.column(0), b.column(1), strict=True):
@@ -122,16 +122,17 @@ def later_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), hot_row
 
     needed = store.write(live.select("node", "rank").distinct(), "needed")
     wanted = needed.select(F.expr(f"rank div {room}").alias("place"), F.expr(f"cast(rank % {room} as int)").alias("line")).groupBy("place").agg(F.collect_set("line").alias("wanted"))
-    arrays = _line_arrays(docs.where(F.col("text").isNotNull()).join(wanted, "place").select("text", "wanted"))
-    arrays = store.write(arrays.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "arrays")
+    wanted = store.write(wanted, "wanted")
+    arrays = _line_arrays(docs.where(F.col("text").isNotNull()).join(small(wanted), "place").select("text", "wanted"))
+    arrays = store.write(arrays.join(small(needed.select("node").distinct()), "node", "left_semi"), "arrays")
     store.release()
-    first = store.write(verify(pairs, arrays, t).select("node").distinct(), "first")
+    first = verify(pairs, arrays, t, store, "verified").select("node").distinct()
 
     # Sets whose first partner wasn't similar after all, against all earlier ones of their buckets.
     open_rows = live.join(first, "node", "left_anti")
     more = open_rows.alias("a").join(live.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}"))
     more = more.select("a.node", F.col("b.node").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
-    similar = store.write(first.union(verify(more, arrays, t).select("node")).distinct(), "similar")
+    similar = store.write(first.union(verify(more, arrays, t, store, "verified-more").select("node")).distinct(), "similar")
 
     marks = lines.groupBy("node").agg(F.min("rank").alias("least")).join(similar.withColumn("similar", F.lit(True)), "node", "left")
     gone = lines.join(marks, "node").where(F.col("similar") | (F.col("rank") > F.col("least")))
@@ -157,7 +158,7 @@ def dedup_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), counts:
     source = docs.withColumn("__key", F.xxhash64("text"))
     plain = pick(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
     gone = later_lines(plain, threshold, hot_rows).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"), F.col("gone").alias("__gone"))
-    both = source.join(gone, source["doc_id"].eqNullSafe(gone["__doc"]) & (source["__key"] == gone["__k"]), "left").drop("__doc", "__k", "__key")
+    both = source.join(small(gone), source["doc_id"].eqNullSafe(gone["__doc"]) & (source["__key"] == gone["__k"]), "left").drop("__doc", "__k", "__key")
     schema = docs.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (", n_lines long, n_removed long" if counts else "")
     text_at, names = docs.columns.index("text"), docs.columns
