@@ -39,14 +39,14 @@ def _sparse(values: pa.Array, where: np.ndarray) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray, hot_rows: int) -> DataFrame:
-    """doc_id, n, node, bits, unit, cold, prefix and sig of each row; n is 0 and node null without words."""
+    """doc_id, key (a hash of the text), n, node, bits, unit, cold, prefix and sig of each row; n is 0 and node null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = shared.value, set()
         for b in batches:
-            for first, end, tokens, bounds in _shingles(b.column(1), width):
+            for first, end, tokens, bounds in _shingles(b.column(2), width):
                 rows = end - first
                 s = make_sets(tokens, np.repeat(np.arange(rows), np.diff(bounds)), rows, levels)
                 some = s.n > 0
@@ -60,12 +60,13 @@ def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray,
                 prefix = prefixes(s, fresh, t)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": b.column(0).slice(first, rows), "n": pa.array(s.n.astype(np.int64)), "node": pa.array(s.node, mask=~some), "bits": s.bits,
+                        "doc_id": b.column(0).slice(first, rows), "key": b.column(1).slice(first, rows), "n": pa.array(s.n.astype(np.int64)), "node": pa.array(s.node, mask=~some), "bits": s.bits,
                         "unit": _unit(prefix, s.n), "cold": cold_tokens(s, levels, hot_rows, t), "prefix": prefix, "sig": _sparse(signature(s, np.flatnonzero(fresh)), fresh),
                     }
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary")
 
 
 class _Arrays:
@@ -98,15 +99,8 @@ class _Arrays:
         return docs.select("text").mapInArrow(run, "node long, tokens binary")
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 8) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs(doc_id, text).
-
-    A document's set is its distinct ``width``-word shingles, lower-cased in A-Z (all its words if fewer); two rows link if
-    their sets' Jaccard similarity reaches the threshold; component_id is the least doc_id among the rows that links reach.
-    Null and wordless texts have empty sets, link with nothing and have component_id doc_id. Rows with a null doc_id link
-    like others but name no component, unless all rows of it have none. Repeated rows are answered each. Columns beside these
-    aren't read. Nothing is dropped: sets that share a frequent token are found through their other tokens or by a join.
-    """
+def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, few: int, rounds: int) -> tuple[DataFrame, Stored]:
+    """doc_id, key, n, node, comp (the class, null without words) and component_id of each row."""
     t, spark = threshold, docs.sparkSession
     docs = pick(docs, "doc_id", "text")
     store = Stored(spark, "jaccard")
@@ -185,6 +179,41 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
 
     names = known.groupBy("node").agg(F.min("doc_id").alias("least"))
     names = names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = names.join(names.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
+    names = names.join(names.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id")
     names = store.write(names, "names")
-    return sets.select("doc_id", "n", "node").join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    store.release()
+    found = sets.select("doc_id", "key", "n", "node").join(names, "node", "left")
+    return found.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))), store
+
+
+def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 8) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs(doc_id, text).
+
+    A document's set is its distinct ``width``-word shingles, lower-cased in A-Z (all its words if fewer); two rows link if
+    their sets' Jaccard similarity reaches the threshold; component_id is the least doc_id among the rows that links reach.
+    Null and wordless texts have empty sets, link with nothing and have component_id doc_id. Rows with a null doc_id link
+    like others but name no component, unless all rows of it have none. Repeated rows are answered each. Columns beside these
+    aren't read. Nothing is dropped: sets that share a frequent token are found through their other tokens or by a join.
+    """
+    found, _ = _classes(docs, width, threshold, hot_rows, few, rounds)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 8) -> DataFrame:
+    """The rows of docs, all columns, less those of which a row of the same class stays: of each class of
+    jaccard_classes() one row, that of least doc_id, a null one last. Rows without words all stay."""
+    found, store = _classes(docs, width, threshold, hot_rows, few, rounds)
+    found = found.where("comp IS NOT NULL").select("comp", "doc_id", "key")
+    rows = store.write(found.groupBy("comp", "doc_id", "key").agg(F.count("*").alias("k")), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    stay = rows.groupBy("comp").agg(F.min(first).alias("first")).select(F.col("comp").alias("c"), F.col("first.doc_id").alias("d"), F.col("first.key").alias("k0"))
+    marked = rows.join(stay, rows["comp"] == stay["c"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k0")))
+    gone = store.write(marked.where("NOT stays").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")), "gone")
+    twice = store.write(marked.where("stays AND k > 1").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")), "twice")
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["__d"]) & (keyed["__key"] == other["__k"])
+    out = keyed.join(small(gone), same(gone), "left_anti")
+    if twice.limit(1).count():  # rows that are there twice have one key
+        again = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates(["doc_id", "__key"])
+        out = out.join(small(twice), same(twice), "left_anti").unionByName(again)
+    return out.drop("__key")
