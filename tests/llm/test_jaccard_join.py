@@ -79,3 +79,15 @@ def test_prefix_length_holds_for_all_sizes():
                 assert t.overlap(a + b) == least
                 if least <= b:
                     assert t.prefix(a) >= a - least + 1 and t.prefix(b) >= b - least + 1
+
+
+def test_components_by_rounds_and_in_a_task(spark):
+    from weft.llm._setjoin import components
+    from weft.llm._spark import Stored
+
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1100)]
+    store = Stored(spark, "test")
+    stored = store.write(spark.createDataFrame(links, "node long, other long"), "links")
+    one, many = (sorted(map(tuple, components(stored, store, name, limit).collect())) for name, limit in (("one", 1000), ("many", 0)))
+    assert one == many and dict(one)[1100] == 1000

@@ -240,8 +240,15 @@ def signature(s: Sets, which: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(128), len(which), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
 
 
+def folded(sig: pa.Array) -> pa.Array:
+    """The parity bitmaps of 256 bits that signatures hold, four long numbers each."""
+    words = np.frombuffer(b"".join(sig.to_pylist()), dtype=U).reshape(-1, 4, 4)
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.bitwise_xor.reduce(words, axis=1).ravel().view(np.int64)), 4).cast(pa.list_(pa.int64()))
+
+
 def screen(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     """The pairs(node, other) that the 1024-bit signatures in marks(node, n, sig) can't rule out."""
+    marks = small(marks, 1 << 16)
     a = marks.select("node", F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = marks.select(F.col("node").alias("other"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     both = pairs.select("node", "other").join(a, "node").join(b, "other").select("node", "other", "n_a", "n_b", "sig_a", "sig_b")
@@ -280,9 +287,36 @@ def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold, store, name: str)
     return store.write(both.mapInArrow(run, "node long, other long"), name)
 
 
-def components(links: DataFrame, store, name: str) -> DataFrame:
-    """(node, comp): the least node reachable, for each node that has a link, by rounds of least neighbours and pointer
-    jumping; each round is a stored table, and the rounds double the distance that a least node travels."""
+#: Links that one task joins into classes at most; beyond it they are joined by rounds over all executors.
+LINKS_IN_A_TASK = 1 << 18
+
+
+def components(links: DataFrame, store, name: str, in_a_task: int = LINKS_IN_A_TASK) -> DataFrame:
+    """(node, comp): the least node reachable, for each node that has a link, of stored links(node, other)."""
+    if links.limit(in_a_task + 1).count() <= in_a_task:
+        return store.write(links.select("node", "other").coalesce(1).mapInArrow(_union_find, "node long, comp long"), name)
+    return _spread_components(links, store, name)
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root[up]
+        return k
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, type=pa.int64()), "comp": pa.array([find(k) for k in nodes], type=pa.int64())})
+
+
+def _spread_components(links: DataFrame, store, name: str) -> DataFrame:
+    """The same by rounds of least neighbours and pointer jumping; each round is a stored table, and the rounds double the
+    distance that a least node travels."""
     both = store.write(links.select("node", "other").union(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), f"{name}-edges")
     labels = store.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), f"{name}-0")
     step = 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, components, make_sets, may_match, prefixes, screen, signature, sketch, verify
+from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, components, folded, make_sets, may_match, prefixes, screen, signature, sketch, verify
 from ._spark import Stored, pick, small
 from ._words import SPACED, U, chunks, mix, windows, words
 
@@ -39,7 +39,7 @@ def _sparse(values: pa.Array, where: np.ndarray) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray, hot_rows: int) -> DataFrame:
-    """doc_id, key (a hash of the text), n, node, bits, unit, cold, prefix and sig of each row; n is 0 and node null without words."""
+    """doc_id, key (a hash of the text), n, node, bits, unit, cold, prefix, sig and q (folded from it) of each row; n is 0 and node null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -57,16 +57,22 @@ def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray,
                         seen.add(x)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                prefix = prefixes(s, fresh, t)
+                prefix, sig = prefixes(s, fresh, t), signature(s, np.flatnonzero(fresh))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": b.column(0).slice(first, rows), "key": b.column(1).slice(first, rows), "n": pa.array(s.n.astype(np.int64)), "node": pa.array(s.node, mask=~some), "bits": s.bits,
-                        "unit": _unit(prefix, s.n), "cold": cold_tokens(s, levels, hot_rows, t), "prefix": prefix, "sig": _sparse(signature(s, np.flatnonzero(fresh)), fresh),
+                        "unit": _unit(prefix, s.n), "cold": cold_tokens(s, levels, hot_rows, t), "prefix": prefix, "sig": _sparse(sig, fresh), "q": _sparse(folded(sig), fresh),
                     }
                 )
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary, q array<long>")
+
+
+def _near(a: str, b: str, c: str, t: Threshold) -> str:
+    """SQL of the filter by folded bitmaps: of rows a.n, a.q and b.n, b.q; or, a being empty, of columns n and q ended by b and c."""
+    n1, q1, n2, q2 = (f"n{b}", f"q{b}", f"n{c}", f"q{c}") if not a else (f"{a}n", f"{a}q", f"{b}n", f"{b}q")
+    return f"{' + '.join(f'bit_count({q1}[{k}] ^ {q2}[{k}])' for k in range(4))} <= {n1} + {n2} - 2 * (({t.num} * ({n1} + {n2}) + {t.num + t.den - 1}) div {t.num + t.den})"
 
 
 class _Arrays:
@@ -129,7 +135,9 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     live = store.write(live.union(inner), "live-members")
     store.release()
 
-    marks = store.write(known.where("sig IS NOT NULL").select("node", "n", "sig", "doc_id").join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "marks")
+    nodes = store.write(live.select("node").distinct(), "live-nodes")
+    marks = store.write(known.where("sig IS NOT NULL").select("node", "n", "sig", "q").join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "marks")
+    live = store.write(live.join(small(marks.select("node", "q"), 1 << 16), "node"), "live-marked")
     pairs = store.write(screen(pairs, marks, t), "screened")
     arrays = _Arrays(docs, known, width, store)
     links = verify(pairs, arrays.of(pairs), t, store, "links-0")
@@ -140,7 +148,7 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     # buckets, drawn anew each time, so that a large class gathers those that belong to it without meeting pair by pair.
     step = 0
     while True:
-        open_rows = live.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_rows = live.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = open_rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         open_rows = store.write(open_rows.join(mixed, "token", "left_semi"), f"open-{step}")
         by_comp = open_rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
@@ -148,37 +156,37 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
         if not rows or pairs_left <= few * rows or step == rounds:
             break
         step += 1
-        drawn = open_rows.withColumn("lot", F.xxhash64("node", F.lit(step))).withColumn("urn", F.pmod("lot", F.lit(2)))
+        drawn = open_rows.withColumn("lot", F.xxhash64("node", F.lit(step))).withColumn("urn", F.pmod("lot", F.lit(4)))
         heads = drawn.join(drawn.groupBy("token", "urn").agg(F.min("lot").alias("lot")), ["token", "urn", "lot"], "left_semi").withColumn("several", F.lit(False))
-        met = open_rows.withColumn("several", F.lit(False)).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)}"))
+        met = open_rows.withColumn("several", F.lit(False)).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)}"))
         met = met.select("a.node", F.col("b.node").alias("other"), F.xxhash64("a.node", "b.node", F.lit(step)).alias("lot"))
-        met = met.groupBy("node", F.pmod("lot", F.lit(2)).alias("urn")).agg(F.min_by("other", "lot").alias("other"))
+        met = met.groupBy("node", F.pmod("lot", F.lit(4)).alias("urn")).agg(F.min_by("other", "lot").alias("other"))
         met = store.write(screen(met, marks, t), f"met-{step}")
-        new = verify(met, arrays.of(met), t, store, f"links-{step}")
-        links = links.union(new)
+        links = store.write(links.union(verify(met, arrays.of(met), t, store, f"links-{step}")), f"all-links-{step}")
         labels = components(links, store, f"labels-{step}")
         store.release()
 
     # What is left, whole: rows alike in class, size and place stand for each other until the filters are passed.
-    kinds = open_rows.groupBy("token", "comp", "n", "i").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi"))
-    # A bitmap filters where all rows of a kind have the same one.
-    sides = [kinds.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "i", "lo", "hi")]) for x in "ab"]
+    kinds = open_rows.groupBy("token", "comp", "n", "i").agg((F.min("node") < F.max("node")).alias("several"), F.min("bits").alias("bits"), *[F.min(F.col("q")[k]).alias(f"q{k}") for k in range(4)])
+    kinds = kinds.withColumn("q", F.array("q0", "q1", "q2", "q3"))
+    # A bitmap filters where it is that of all rows of a kind.
+    sides = [kinds.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "i", "several", "bits", "q")]) for x in "ab"]
     least = f"(({t.num} * (n_a + n_b) + {t.num + t.den - 1}) div {t.num + t.den})"
     met = sides[0].join(sides[1], "token").where(
         f"comp_a < comp_b AND {t.num} * n_a <= {t.den} * n_b AND {t.num} * n_b <= {t.den} * n_a AND least(n_a - i_a, n_b - i_b) >= {least}"
-        f" AND (lo_a <> hi_a OR lo_b <> hi_b OR bit_count(lo_a ^ lo_b) <= n_a + n_b - 2 * {least})"
+        f" AND (several_a OR several_b OR bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {least} AND {_near('', '_a', '_b', t)})"
     )
     met = met.select("token", "comp_a", "n_a", "i_a", "comp_b", "n_b", "i_b")
-    row = lambda x: open_rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"i_{x}"), F.col("node").alias(f"node_{x}"), F.col("bits").alias(f"bits_{x}"))
-    spread = met.join(row("a"), ["token", "comp_a", "n_a", "i_a"]).join(row("b"), ["token", "comp_b", "n_b", "i_b"]).where(f"bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {least}")
-    more = spread.select(F.least("node_a", "node_b").alias("node"), F.greatest("node_a", "node_b").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
+    row = lambda x: open_rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"i_{x}"), F.col("node").alias(f"node_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("q").alias(f"q_{x}"))
+    spread = met.join(row("a"), ["token", "comp_a", "n_a", "i_a"]).join(row("b"), ["token", "comp_b", "n_b", "i_b"]).where(f"bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {least} AND {_near('', '_a', '_b', t)}")
+    more = spread.select(F.least("node_a", "node_b").alias("node"), F.greatest("node_a", "node_b").alias("other")).distinct().join(small(pairs), ["node", "other"], "left_anti")
     more = store.write(screen(more, marks, t), "more")
     second = verify(more, arrays.of(more), t, store, "links-more")
     if second.limit(1).count():
-        labels = components(links.union(second), store, "labels-more")
+        labels = components(store.write(links.union(second), "all-links"), store, "labels-more")
 
     names = known.groupBy("node").agg(F.min("doc_id").alias("least"))
-    names = names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    names = names.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = names.join(names.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id")
     names = store.write(names, "names")
     store.release()
@@ -186,7 +194,7 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     return found.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))), store
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 8) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text).
 
     A document's set is its distinct ``width``-word shingles, lower-cased in A-Z (all its words if fewer); two rows link if
@@ -199,7 +207,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 6) -> DataFrame:
     """The rows of docs, all columns, less those of which a row of the same class stays: of each class of
     jaccard_classes() one row, that of least doc_id, a null one last. Rows without words all stay."""
     found, store = _classes(docs, width, threshold, hot_rows, few, rounds)
