@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import graph_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_REGISTRIES = [graph_queries.R]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
+ORACLE_SQL = {name: sql for r in _REGISTRIES for name, sql in r.sql.items()}
