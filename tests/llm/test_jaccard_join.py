@@ -38,10 +38,10 @@ def brute(rows, num=85, den=100):
 
 def near_copies(seed, n=40):
     rng = random.Random(seed)
-    vocabulary = [f"w{k}" for k in range(60)] + ["É", "the", "The"]
+    vocabulary = [f"w{k}" for k in range(200)] + ["É", "the", "The"]
     rows = []
     for _ in range(n):
-        base = rng.choices(vocabulary, k=rng.choice([1, 3, 4, 5, 12, 40, 80]))
+        base = rng.choices(vocabulary, k=rng.choice([1, 3, 4, 5, 12, 40, 80, 180]))
         for _ in range(rng.choice([1, 1, 2, 6])):
             copy = list(base)
             for _ in range(rng.choice([0, 1, 1, 2, 3])):

@@ -35,8 +35,8 @@ def brute(rows):
 
 def corpus(seed, far=1):
     rng = random.Random(seed)
-    vocabulary = [f"w{k}" for k in range(80)] + ["the", "The", "of", "é"]
-    pool = [rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, 5, 6, 9, 15, 40, 70])) for _ in range(40)]
+    vocabulary = [f"w{k}" for k in range(300)] + ["the", "The", "of", "é"]
+    pool = [rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, 5, 6, 9, 15, 40, 70, 160])) for _ in range(40)]
     rows = []
     for d in range(70):
         lines = []

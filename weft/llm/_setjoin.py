@@ -121,27 +121,43 @@ def cold_tokens(s: Sets, levels: np.ndarray, hot_rows: int, t: Threshold) -> np.
     return np.minimum(sums[s.bounds[1:]] - sums[s.bounds[:-1]], t.prefix(s.n)).astype(np.int32)
 
 
-def _may_match(na, nb, ia, ib, ba, bb, several, t: Threshold):
-    """several: one side stands for sets with other bitmaps as well."""
+#: Sets of so many tokens have bitmaps of 256 bits besides those of 64.
+WIDE = 96
+_WIDE_COLUMNS = ["q0", "q1", "q2", "q3"]
+
+
+def _may_match(a: np.ndarray, b: np.ndarray, n, i, bits, wide, several, t: Threshold) -> np.ndarray:
+    """Whether the pairs of rows a, b can be similar. several: a row stands for sets with other bitmaps as well."""
+    na, nb = n[a], n[b]
     least = t.overlap(na + nb)
-    return (np.minimum(na - ia, nb - ib) >= least) & (several | (np.bitwise_count((ba ^ bb).view(U)) <= na + nb - 2 * least))
+    ok = np.flatnonzero(np.minimum(na - i[a], nb - i[b]) >= least)
+    a, b, room, out = a[ok], b[ok], (na + nb - 2 * least)[ok], np.zeros(len(a), dtype=bool)
+    free = several[a] | several[b]
+    fits = free | (np.bitwise_count((bits[a] ^ bits[b]).view(U)) <= room)
+    ok, a, b, room, free = ok[fits], a[fits], b[fits], room[fits], free[fits]
+    large = np.flatnonzero(~free & (n[a] >= WIDE) & (n[b] >= WIDE))
+    far = sum(np.bitwise_count((q[a[large]] ^ q[b[large]]).view(U)).astype(np.int64) for q in wide) > room[large]
+    out[ok] = True
+    out[ok[large[far]]] = False
+    return out
 
 
 def may_match(a: str, b: str, t: Threshold) -> str:
-    """The same filters in SQL, and the length filter, of rows with columns n, i, bits, several."""
+    """The same filters in SQL, and the length filter, of rows with columns n, i, bits, several, q0 to q3."""
     least = f"(({t.num} * ({a}.n + {b}.n) + {t.num + t.den - 1}) div {t.num + t.den})"
     return (
         f"{t.num} * {a}.n <= {t.den} * {b}.n AND {t.num} * {b}.n <= {t.den} * {a}.n AND least({a}.n - {a}.i, {b}.n - {b}.i) >= {least}"
-        f" AND ({a}.several OR {b}.several OR bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {least})"
+        f" AND ({a}.several OR {b}.several OR bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {least}"
+        f" AND ({a}.n < {WIDE} OR {b}.n < {WIDE} OR {' + '.join(f'bit_count({a}.{q} ^ {b}.{q})' for q in _WIDE_COLUMNS)} <= {a}.n + {b}.n - 2 * {least}))"
     )
 
 
 def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_once: int = 1 << 21) -> DataFrame:
-    """index(token, node, rank, n, i, bits, several): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank) with
+    """index(token, node, rank, n, i, bits, several, q0..q3): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank) with
     a set's passing partner of lowest rank in this task's buckets, if that's below its own; and, other null, the index rows
     that have a partner.
     """
-    rows = index.repartition("token").select("token", "node", "rank", "n", "i", "bits", "several")
+    rows = index.repartition("token").select("token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -149,7 +165,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
             return
         table = pa.Table.from_batches(got)
         got.clear()
-        token, node, rank, n, i, bits, several = (table.column(k).to_numpy() for k in range(7))
+        token, node, rank, n, i, bits, several, *wide = (table.column(k).to_numpy() for k in range(11))
         del table
         by = np.lexsort((rank, node, token)) if merge else np.argsort(token)
         if merge:  # of a set told by several tasks, the row of lowest rank
@@ -167,6 +183,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
             return
         by = by[np.lexsort((n[by], token[by]))]
         token, node, rank, n, i, bits, several = (x[by] for x in (token, node, rank, n.astype(np.int64), i.astype(np.int64), bits, several))
+        wide = [q[by] for q in wide]
         new = np.ones(len(token), dtype=bool)
         new[1:] = token[1:] != token[:-1]
         bucket = np.cumsum(new)
@@ -185,7 +202,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
             c = count[row:stop]
             a = np.repeat(np.arange(row, stop), c)
             b = np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + a + 1
-            ok = _may_match(n[a], n[b], i[a], i[b], bits[a], bits[b], several[a] | several[b], t)
+            ok = _may_match(a, b, n, i, bits, wide, several, t)
             a, b = a[ok], b[ok]
             live[a] = live[b] = True
             np.minimum.at(best, a, place[b])
@@ -194,7 +211,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
         linked = np.flatnonzero(live)
         if not len(linked):
             return
-        yield pa.RecordBatch.from_pydict({"node": node[linked], "other": pa.nulls(len(linked), pa.int64()), "token": token[linked], "rank": rank[linked], "n": n[linked].astype(np.int32), "i": i[linked].astype(np.int32), "bits": bits[linked], "several": several[linked]})
+        yield pa.RecordBatch.from_pydict({"node": node[linked], "other": pa.nulls(len(linked), pa.int64()), "token": token[linked], "rank": rank[linked], "n": n[linked].astype(np.int32), "i": i[linked].astype(np.int32), "bits": bits[linked], "several": several[linked], **{c: q[linked] for c, q in zip(_WIDE_COLUMNS, wide, strict=True)}})
         first = np.flatnonzero(best < place)
         first = first[np.lexsort((best[first], node[first]))]
         once = np.ones(len(first), dtype=bool)
@@ -202,25 +219,26 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
         first = first[once]
         if m := len(first):
             other, zero = order[best[first]], pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[other], "token": pa.nulls(m, pa.int32()), "rank": rank[other], "n": zero, "i": zero, "bits": pa.nulls(m, pa.int64()), "several": pa.nulls(m, pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[other], "token": pa.nulls(m, pa.int32()), "rank": rank[other], "n": zero, "i": zero, "bits": pa.nulls(m, pa.int64()), "several": pa.nulls(m, pa.bool_()), **{c: pa.nulls(m, pa.int64()) for c in _WIDE_COLUMNS}})
 
-    return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean")
+    return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean, q0 long, q1 long, q2 long, q3 long")
 
 
 def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tuple[DataFrame, DataFrame]:
-    """From nodes(node, rank, n, bits, several, prefix, cold), the distinct sets: pairs(node, other) of each set and its partner of
+    """From nodes(node, rank, n, bits, several, prefix, cold, q), the distinct sets: pairs(node, other) of each set and its partner of
     lowest rank, if that's below its own; and the index rows that may have partners. Buckets of frequent tokens, of which
     a task can't be sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners. merge: nodes may hold a set several
     times, with different ranks, of which the lowest counts."""
     # Sets so small that only equal ones are similar have no partner.
     nodes = nodes.where(f"size(prefix) > 0 AND n * {t.den - t.num} >= {t.num}")
-    columns = ["token", "node", "rank", "n", "i", "bits", "several"]
-    index = lambda rows: rows.select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", F.posexplode("prefix").alias("i", "token"))
+    columns = ["token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS]
+    nodes = nodes.withColumns({c: F.coalesce(F.col("q")[k], F.lit(0)) for k, c in enumerate(_WIDE_COLUMNS)})
+    index = lambda rows: rows.select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", *_WIDE_COLUMNS, F.posexplode("prefix").alias("i", "token"))
     passed = store.write(bucket_pass(index(nodes).where("i < cold").select(*columns), t, merge), "passed")
     store.release()
     hot = index(nodes.where("cold < size(prefix)")).where("i >= cold").select(*columns)
     if merge:
-        hot = hot.groupBy("token", "node", "n", "i", "bits", "several").agg(F.min("rank").alias("rank")).select(*columns)
+        hot = hot.groupBy(*[c for c in columns if c != "rank"]).agg(F.min("rank").alias("rank")).select(*columns)
     hot = store.write(hot, "hot")
     least = hot.groupBy("token").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     heads = hot.join(least, ["token", "rank"], "left_semi")
@@ -246,6 +264,13 @@ def folded(sig: pa.Array) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(np.bitwise_xor.reduce(words, axis=1).ravel().view(np.int64)), 4).cast(pa.list_(pa.int64()))
 
 
+def wide_bitmaps(s: Sets, which: np.ndarray) -> pa.Array:
+    """Parity bitmaps of 256 bits, four long numbers, of the sets ``which`` marks that are large; null of the others."""
+    which = which & (s.n >= WIDE)
+    sig = folded(signature(s, np.flatnonzero(which)))
+    return sig.take(pa.array(np.cumsum(which) - 1, mask=~which))
+
+
 def screen(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     """The pairs(node, other) that the 1024-bit signatures in marks(node, n, sig) can't rule out."""
     marks = small(marks, 1 << 16)

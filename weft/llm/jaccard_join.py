@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, components, folded, make_sets, may_match, prefixes, screen, signature, sketch, verify
+from ._setjoin import SKETCH_BITS, WIDE, Threshold, candidates, cold_tokens, components, folded, make_sets, may_match, prefixes, screen, signature, sketch, verify
 from ._spark import Stored, pick, small
 from ._words import SPACED, U, chunks, mix, windows, words
 
@@ -117,8 +117,9 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     # A group of one prefix and size is indexed once, under its least member, the head. Pairs of heads expand to pairs of
     # each member and the other's head; members meet their own head as well.
     groups = known.where("prefix IS NOT NULL").groupBy("unit").agg(
-        F.min("node").alias("node"), (F.min("node") < F.max("node")).alias("several"), F.min_by("bits", "node").alias("bits"), *[F.first(c).alias(c) for c in ("n", "cold", "prefix")]
+        F.min("node").alias("node"), (F.min("node") < F.max("node")).alias("several"), F.min_by("bits", "node").alias("bits"), F.min_by("q", "node").alias("q"), *[F.first(c).alias(c) for c in ("n", "cold", "prefix")]
     )
+    groups = groups.withColumn("q", F.when(F.col("n") >= WIDE, F.col("q")))
     groups = store.write(groups.withColumn("rank", F.col("node")), "groups")
     store.release()
     met, live = candidates(groups, t, store)
@@ -157,8 +158,8 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
             break
         step += 1
         drawn = open_rows.withColumn("lot", F.xxhash64("node", F.lit(step))).withColumn("urn", F.pmod("lot", F.lit(4)))
-        heads = drawn.join(drawn.groupBy("token", "urn").agg(F.min("lot").alias("lot")), ["token", "urn", "lot"], "left_semi").withColumn("several", F.lit(False))
-        met = open_rows.withColumn("several", F.lit(False)).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)}"))
+        heads = drawn.join(drawn.groupBy("token", "urn").agg(F.min("lot").alias("lot")), ["token", "urn", "lot"], "left_semi").withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k] for k in range(4)})
+        met = open_rows.withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k] for k in range(4)}).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)}"))
         met = met.select("a.node", F.col("b.node").alias("other"), F.xxhash64("a.node", "b.node", F.lit(step)).alias("lot"))
         met = met.groupBy("node", F.pmod("lot", F.lit(4)).alias("urn")).agg(F.min_by("other", "lot").alias("other"))
         met = store.write(screen(met, marks, t), f"met-{step}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, make_sets, may_match, prefixes, sketch, verify
+from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, make_sets, may_match, prefixes, sketch, verify, wide_bitmaps
 from ._spark import Stored, pick, small
 from ._words import SPACED, chunks, words
 
@@ -30,17 +30,17 @@ LINES_HELD = 1 << 17
 
 def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_rows: int) -> DataFrame:
     """Rows of two kinds from docs(place, key, text). rank, key and node of each line with a word, prefix null; and of each
-    distinct set that may have partners, once a task as far as it remembers, node, its lowest rank there, n, bits, cold and prefix."""
+    distinct set that may have partners, once a task as far as it remembers, node, its lowest rank there, n, bits, cold, prefix and q."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def tell(held: list[tuple]) -> pa.RecordBatch:
         node, rank, n, bits, cold = (np.concatenate([h[k] for h in held]) for k in range(5))
-        prefix = pa.concat_arrays([h[5] for h in held])
+        prefix, q = (pa.concat_arrays([h[k] for h in held]) for k in (5, 6))
         by = np.lexsort((rank, node))
         new = np.ones(len(by), dtype=bool)
         new[1:] = node[by[1:]] != node[by[:-1]]
         by = by[new]
-        return pa.RecordBatch.from_pydict({"rank": rank[by], "key": pa.nulls(len(by), pa.int64()), "node": node[by], "n": n[by], "bits": bits[by], "cold": cold[by], "prefix": prefix.take(pa.array(by))})
+        return pa.RecordBatch.from_pydict({"rank": rank[by], "key": pa.nulls(len(by), pa.int64()), "node": node[by], "n": n[by], "bits": bits[by], "cold": cold[by], "prefix": prefix.take(pa.array(by)), "q": q.take(pa.array(by))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, held, n_held = shared.value, [], 0
@@ -55,7 +55,7 @@ def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_
                 yield pa.RecordBatch.from_pydict(
                     {
                         "rank": rank[some], "key": key[row[some]], "node": s.node[some], "n": pa.nulls(m, pa.int32()), "bits": pa.nulls(m, pa.int64()),
-                        "cold": pa.nulls(m, pa.int32()), "prefix": pa.nulls(m, pa.list_(pa.int32())),
+                        "cold": pa.nulls(m, pa.int32()), "prefix": pa.nulls(m, pa.list_(pa.int32())), "q": pa.nulls(m, pa.list_(pa.int64())),
                     }
                 )
                 # Of a set's copies in the chunk, the lowest rank.
@@ -68,7 +68,7 @@ def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_
                 fresh[large] = True
                 large = np.flatnonzero(fresh)
                 prefix = prefixes(s, fresh, t).take(pa.array(large))
-                held.append((s.node[large], rank[large], s.n[large].astype(np.int32), s.bits[large], cold_tokens(s, levels, hot_rows, t)[large], prefix))
+                held.append((s.node[large], rank[large], s.n[large].astype(np.int32), s.bits[large], cold_tokens(s, levels, hot_rows, t)[large], prefix, wide_bitmaps(s, fresh).take(pa.array(large))))
                 n_held += len(large)
                 if n_held >= LINES_HELD:
                     yield tell(held)
@@ -76,7 +76,7 @@ def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_
         if held:
             yield tell(held)
 
-    return docs.mapInArrow(run, "rank long, key long, node long, n int, bits long, cold int, prefix array<int>")
+    return docs.mapInArrow(run, "rank long, key long, node long, n int, bits long, cold int, prefix array<int>, q array<long>")
 
 
 def _line_arrays(docs: DataFrame) -> DataFrame:
@@ -117,14 +117,14 @@ def later_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), hot_row
     docs, room, ranked, shift = _places(docs, store)
     levels = sketch(docs.select("text"), lambda column: (h for _, _, h, _, _ in _lines(column)))
     told = store.write(line_sets(docs.select("place", "key", "text"), t, room, levels, hot_rows), "lines")
-    lines, sets = told.where("prefix IS NULL").select("rank", "key", "node"), told.where("prefix IS NOT NULL").select("node", "rank", "n", "bits", "cold", "prefix")
+    lines, sets = told.where("prefix IS NULL").select("rank", "key", "node"), told.where("prefix IS NOT NULL").select("node", "rank", "n", "bits", "cold", "prefix", "q")
     pairs, live = candidates(sets.withColumn("several", F.lit(False)), t, store, merge=True)
 
     needed = store.write(live.select("node", "rank").distinct(), "needed")
     wanted = needed.select(F.expr(f"rank div {room}").alias("place"), F.expr(f"cast(rank % {room} as int)").alias("line")).groupBy("place").agg(F.collect_set("line").alias("wanted"))
     wanted = store.write(wanted, "wanted")
     arrays = _line_arrays(docs.where(F.col("text").isNotNull()).join(small(wanted), "place").select("text", "wanted"))
-    arrays = store.write(arrays.join(small(needed.select("node").distinct()), "node", "left_semi"), "arrays")
+    arrays = store.write(arrays, "arrays")
     store.release()
     first = verify(pairs, arrays, t, store, "verified").select("node").distinct()
 
