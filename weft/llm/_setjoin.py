@@ -41,7 +41,7 @@ class Threshold:
 
 
 def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
-    """Of each counter of hashed tokens, the logarithm of how often tokens that fall on it occur in all rows, 0 to 255."""
+    """Of each counter of hashed tokens, the logarithm of how often repeated tokens that fall on it occur in all rows, 0 to 255."""
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,15 +50,21 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
         some = False
 
         def flush() -> None:
+            # Tokens met once among some millions aren't counted: they would only blur the counters of others.
             if waiting:
-                np.add(total, np.bincount(np.concatenate(waiting), minlength=size), out=total)
+                met = np.sort(np.concatenate(waiting))
+                same = met[1:] == met[:-1]
+                again = np.zeros(len(met), dtype=bool)
+                again[1:] |= same
+                again[:-1] |= same
+                np.add(total, np.bincount((met[again] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size), out=total)
                 waiting.clear()
 
         for b in batches:
             for t in tokens(b.column(0)):
-                waiting.append((t >> U(64 - SKETCH_BITS)).astype(np.int64))
+                waiting.append(t)
                 some = some or len(t) > 0
-                if sum(map(len, waiting)) > 2 * size:
+                if sum(map(len, waiting)) > size:
                     flush()
         flush()
         if some:
