@@ -158,10 +158,10 @@ def may_match(a: str, b: str, t: Threshold) -> str:
     )
 
 
-def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_once: int = 1 << 21) -> DataFrame:
-    """index(token, node, rank, n, i, bits, several, q0..q3): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank) with
+def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int = 0, pairs_at_once: int = 1 << 21) -> DataFrame:
+    """index(token, node, rank, n, i, bits, several, q0..q3): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank, i: the draw or -1) with
     a set's passing partner of lowest rank in this task's buckets, if that's below its own; and, other null, the index rows
-    that have a partner.
+    that have a partner. draws: for each set as many partners more, drawn by hashes of the pairs.
     """
     rows = index.repartition("token").select("token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS)
 
@@ -200,6 +200,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         best = place.copy()
+        drawn = [np.full(len(order), ~U(0)) for _ in range(draws)]
         live = np.zeros(len(n), dtype=bool)
         total = np.concatenate([[0], np.cumsum(count)])
         row = 0
@@ -213,24 +214,33 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, pairs_at_on
             live[a] = live[b] = True
             np.minimum.at(best, a, place[b])
             np.minimum.at(best, b, place[a])
+            for k, least in enumerate(drawn):
+                # The hash of the pair above the partner's place, which thus comes along with the least hash.
+                lot = mix((node[a] + node[b]).view(U) ^ U(0x5851F42D4C957F2D * (2 * k + 1) & (1 << 64) - 1)) & ~U((1 << 28) - 1)
+                np.minimum.at(least, a, lot | place[b].astype(U))
+                np.minimum.at(least, b, lot | place[a].astype(U))
             row = stop
         linked = np.flatnonzero(live)
         if not len(linked):
             return
         yield pa.RecordBatch.from_pydict({"node": node[linked], "other": pa.nulls(len(linked), pa.int64()), "token": token[linked], "rank": rank[linked], "n": n[linked].astype(np.int32), "i": i[linked].astype(np.int32), "bits": bits[linked], "several": several[linked], **{c: q[linked] for c, q in zip(_WIDE_COLUMNS, wide, strict=True)}})
-        first = np.flatnonzero(best < place)
-        first = first[np.lexsort((best[first], node[first]))]
-        once = np.ones(len(first), dtype=bool)
-        once[1:] = node[first[1:]] != node[first[:-1]]
-        first = first[once]
-        if m := len(first):
-            other, zero = order[best[first]], pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[other], "token": pa.nulls(m, pa.int32()), "rank": rank[other], "n": zero, "i": zero, "bits": pa.nulls(m, pa.int64()), "several": pa.nulls(m, pa.bool_()), **{c: pa.nulls(m, pa.int64()) for c in _WIDE_COLUMNS}})
+        chosen = [(np.flatnonzero(best < place), best, -1)]
+        chosen += [(np.flatnonzero(least != ~U(0)), (least & U((1 << 28) - 1)).astype(np.int64), k) for k, least in enumerate(drawn)]
+        for first, partner, k in chosen:
+            by = rank[order[partner[first]]] if k < 0 else (drawn[k][first] >> U(28)).astype(np.int64)
+            pick = np.lexsort((by, node[first]))
+            first, by = first[pick], by[pick]
+            once = np.ones(len(first), dtype=bool)
+            once[1:] = node[first[1:]] != node[first[:-1]]
+            first, by = first[once], by[once]
+            if m := len(first):
+                none, zero = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
+                yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[order[partner[first]]], "token": zero, "rank": by, "n": zero, "i": pa.array(np.full(m, k, np.int32)), "bits": none, "several": pa.nulls(m, pa.bool_()), **{c: none for c in _WIDE_COLUMNS}})
 
     return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean, q0 long, q1 long, q2 long, q3 long")
 
 
-def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False, draws: int = 0) -> tuple[DataFrame, DataFrame]:
     """From nodes(node, rank, n, bits, several, prefix, cold, q), the distinct sets: pairs(node, other) of each set and its partner of
     lowest rank, if that's below its own; and the index rows that may have partners. Buckets of frequent tokens, of which
     a task can't be sure to hold one, are joined with their row of lowest rank instead; all their rows may have partners. merge: nodes may hold a set several
@@ -240,7 +250,7 @@ def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tu
     columns = ["token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS]
     nodes = nodes.withColumns({c: F.coalesce(F.col("q")[k], F.lit(0)) for k, c in enumerate(_WIDE_COLUMNS)})
     index = lambda rows: rows.select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", *_WIDE_COLUMNS, F.posexplode("prefix").alias("i", "token"))
-    passed = store.write(bucket_pass(index(nodes).where("i < cold").select(*columns), t, merge), "passed")
+    passed = store.write(bucket_pass(index(nodes).where("i < cold").select(*columns), t, merge, draws), "passed")
     store.release()
     hot = index(nodes.where("cold < size(prefix)")).where("i >= cold").select(*columns)
     if merge:
@@ -249,7 +259,8 @@ def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False) -> tu
     least = hot.groupBy("token").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     heads = hot.join(least, ["token", "rank"], "left_semi")
     starred = hot.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.rank > b.rank AND {may_match('a', 'b', t)}")).select("a.node", F.col("b.node").alias("other"), "b.rank")
-    pairs = passed.where("other IS NOT NULL").select("node", "other", "rank").union(starred).groupBy("node").agg(F.min_by("other", "rank").alias("other"))
+    found = passed.where("other IS NOT NULL").select("node", "other", "rank", "i").union(starred.withColumn("i", F.lit(-1)))
+    pairs = found.groupBy("node", "i").agg(F.min_by("other", "rank").alias("other")).select("node", "other")
     live = passed.where("other IS NULL").select(*columns).union(hot)
     return store.write(pairs, "pairs"), store.write(live, "live")
 
