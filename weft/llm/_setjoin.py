@@ -45,7 +45,7 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int32)
         waiting: list[np.ndarray] = []
         some = False
 
@@ -57,14 +57,15 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
                 again = np.zeros(len(met), dtype=bool)
                 again[1:] |= same
                 again[:-1] |= same
-                np.add(total, np.bincount((met[again] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size), out=total)
                 waiting.clear()
+                # A task of over 2**31 occurrences of a token would have to be of some ten GB of text.
+                total[:] += np.bincount((met[again] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.int32)
 
         for b in batches:
             for t in tokens(b.column(0)):
                 waiting.append(t)
                 some = some or len(t) > 0
-                if sum(map(len, waiting)) > size:
+                if sum(map(len, waiting)) > size // 2:
                     flush()
         flush()
         if some:
@@ -72,7 +73,7 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
             low = np.minimum(total, 255).astype(np.uint8)
             for k, (x, y) in enumerate(zip(np.split(low, _CHUNKS), np.split(total, _CHUNKS), strict=True)):
                 at = np.flatnonzero(y > 255)
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], type=pa.int32()), "counts": pa.array([x.tobytes()], type=pa.binary()), "at": pa.array([at]), "rest": pa.array([y[at] - 255])})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], type=pa.int32()), "counts": pa.array([x.tobytes()], type=pa.binary()), "at": pa.array([at]), "rest": pa.array([(y[at] - 255).astype(np.int64)])})
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(size // _CHUNKS, dtype=np.int64)
@@ -127,9 +128,11 @@ def cold_tokens(s: Sets, levels: np.ndarray, hot_rows: int, t: Threshold) -> np.
     return np.minimum(sums[s.bounds[1:]] - sums[s.bounds[:-1]], t.prefix(s.n)).astype(np.int32)
 
 
-#: Sets of so many tokens have bitmaps of 256 bits besides those of 64.
+#: Sets of so many tokens have bitmaps of 128 bits besides those of 64.
 WIDE = 96
-_WIDE_COLUMNS = ["q0", "q1", "q2", "q3"]
+_WIDE_COLUMNS = ["q0", "q1"]
+#: Partitions of the index at least, so that what a row takes doesn't hang on how many rows of a set happen to meet in one.
+INDEX_PARTITIONS = 64
 
 
 def _may_match(a: np.ndarray, b: np.ndarray, n, i, bits, wide, several, t: Threshold) -> np.ndarray:
@@ -149,7 +152,7 @@ def _may_match(a: np.ndarray, b: np.ndarray, n, i, bits, wide, several, t: Thres
 
 
 def may_match(a: str, b: str, t: Threshold) -> str:
-    """The same filters in SQL, and the length filter, of rows with columns n, i, bits, several, q0 to q3."""
+    """The same filters in SQL, and the length filter, of rows with columns n, i, bits, several, q0, q1."""
     least = f"(({t.num} * ({a}.n + {b}.n) + {t.num + t.den - 1}) div {t.num + t.den})"
     return (
         f"{t.num} * {a}.n <= {t.den} * {b}.n AND {t.num} * {b}.n <= {t.den} * {a}.n AND least({a}.n - {a}.i, {b}.n - {b}.i) >= {least}"
@@ -158,12 +161,13 @@ def may_match(a: str, b: str, t: Threshold) -> str:
     )
 
 
-def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int = 0, pairs_at_once: int = 1 << 21) -> DataFrame:
-    """index(token, node, rank, n, i, bits, several, q0..q3): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank, i: the draw or -1) with
+def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int = 0, pairs_at_once: int = 1 << 19) -> DataFrame:
+    """index(token, node, rank, n, i, bits, several, q0, q1): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank, i: the draw or -1) with
     a set's passing partner of lowest rank in this task's buckets, if that's below its own; and, other null, the index rows
     that have a partner. draws: for each set as many partners more, drawn by hashes of the pairs.
     """
-    rows = index.repartition("token").select("token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS)
+    spark = index.sparkSession
+    rows = index.repartition(max(INDEX_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token").select("token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -171,7 +175,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int
             return
         table = pa.Table.from_batches(got)
         got.clear()
-        token, node, rank, n, i, bits, several, *wide = (table.column(k).to_numpy() for k in range(11))
+        token, node, rank, n, i, bits, several, *wide = (table.column(k).to_numpy() for k in range(9))
         del table
         by = np.lexsort((rank, node, token)) if merge else np.argsort(token)
         if merge:  # of a set told by several tasks, the row of lowest rank
@@ -237,7 +241,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int
                 none, zero = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
                 yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[order[partner[first]]], "token": zero, "rank": by, "n": zero, "i": pa.array(np.full(m, k, np.int32)), "bits": none, "several": pa.nulls(m, pa.bool_()), **{c: none for c in _WIDE_COLUMNS}})
 
-    return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean, q0 long, q1 long, q2 long, q3 long")
+    return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean, q0 long, q1 long")
 
 
 def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False, draws: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -275,16 +279,16 @@ def signature(s: Sets, which: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(128), len(which), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
 
 
-def folded(sig: pa.Array) -> pa.Array:
-    """The parity bitmaps of 256 bits that signatures hold, four long numbers each."""
-    words = np.frombuffer(b"".join(sig.to_pylist()), dtype=U).reshape(-1, 4, 4)
-    return pa.FixedSizeListArray.from_arrays(pa.array(np.bitwise_xor.reduce(words, axis=1).ravel().view(np.int64)), 4).cast(pa.list_(pa.int64()))
+def folded(sig: pa.Array, longs: int = 4) -> pa.Array:
+    """The smaller parity bitmaps that signatures hold, of so many long numbers each."""
+    words = np.frombuffer(b"".join(sig.to_pylist()), dtype=U).reshape(-1, 16 // longs, longs)
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.bitwise_xor.reduce(words, axis=1).ravel().view(np.int64)), longs).cast(pa.list_(pa.int64()))
 
 
 def wide_bitmaps(s: Sets, which: np.ndarray) -> pa.Array:
-    """Parity bitmaps of 256 bits, four long numbers, of the sets ``which`` marks that are large; null of the others."""
+    """Parity bitmaps of 128 bits, two long numbers, of the sets ``which`` marks that are large; null of the others."""
     which = which & (s.n >= WIDE)
-    sig = folded(signature(s, np.flatnonzero(which)))
+    sig = folded(signature(s, np.flatnonzero(which)), 2)
     return sig.take(pa.array(np.cumsum(which) - 1, mask=~which))
 
 

@@ -158,8 +158,8 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
             break
         step += 1
         drawn = open_rows.withColumn("lot", F.xxhash64("node", F.lit(step))).withColumn("urn", F.pmod("lot", F.lit(4)))
-        heads = drawn.join(drawn.groupBy("token", "urn").agg(F.min("lot").alias("lot")), ["token", "urn", "lot"], "left_semi").withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k] for k in range(4)})
-        met = open_rows.withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k] for k in range(4)}).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)}"))
+        heads = drawn.join(drawn.groupBy("token", "urn").agg(F.min("lot").alias("lot")), ["token", "urn", "lot"], "left_semi").withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k].bitwiseXOR(F.col("q")[k + 2]) for k in range(2)})
+        met = open_rows.withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k].bitwiseXOR(F.col("q")[k + 2]) for k in range(2)}).alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)}"))
         met = met.select("a.node", F.col("b.node").alias("other"), F.xxhash64("a.node", "b.node", F.lit(step)).alias("lot"))
         met = met.groupBy("node", F.pmod("lot", F.lit(4)).alias("urn")).agg(F.min_by("other", "lot").alias("other"))
         met = store.write(screen(met, marks, t), f"met-{step}")
