@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,13 @@ def smooth_node(edges: DataFrame, node: int) -> DataFrame:
     near = edges.where((F.col("u") == node) | (F.col("v") == node)).select(F.when(F.col("u") == node, F.col("v")).otherwise(F.col("u")).alias("x"))
     new = near.agg(F.slice(F.array_sort(F.collect_set("x")), 1, 2).alias("a")).where("size(a) = 2").select(F.col("a")[0].alias("u"), F.col("a")[1].alias("v"))
     return normalise(edges.where((F.col("u") != node) & (F.col("v") != node)).select("u", "v").union(new))
+
+
+def dense_ids(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
+    """rows with their places 0, 1, .. in an order: range partitions are sorted by themselves and their sizes summed up, so that no
+    task sees all rows. The order should be total; rows that tie get places in any order."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).checkpoint()
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_lo"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_p", (before - F.col("_lo")).alias("_shift"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_i") + F.col("_shift")).cast("long")).drop("_p", "_i", "_shift")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import Graph, normalise
+from .graph import Graph, dense_ids, normalise
 
 
 def rotation(g: Graph) -> DataFrame:
@@ -70,7 +70,7 @@ def edge_refine(g: Graph) -> Graph:
     """A node in the middle of every edge."""
     at = g.nodes.select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     top = at.agg(F.max("node_id")).first()[0] or 0
-    e = g.edges.select("u", "v", (F.row_number().over(Window.orderBy("u", "v")) + top).cast("long").alias("mid"))
+    e = dense_ids(g.edges.select("u", "v"), "u", "v", name="mid").withColumn("mid", F.col("mid") + top + 1)
     ends = e.join(at.select(F.col("node_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy")), "u").join(at.select(F.col("node_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
     mids = ends.select(F.col("mid").alias("node_id"), ((F.col("ux") + F.col("vx")) / 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2).alias("y"))
     return Graph(at.union(mids), normalise(e.select("u", F.col("mid").alias("v")).union(e.select("v", "mid"))))
@@ -81,9 +81,9 @@ def face_refine(g: Graph) -> Graph:
     at = g.nodes.select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     top = at.agg(F.max("node_id")).first()[0] or 0
     f = faces(g)
-    inner = bounded_faces(g, f).select("face", "cx", "cy", (F.row_number().over(Window.orderBy("face")) + top).cast("long").alias("node_id"))
+    inner = dense_ids(bounded_faces(g, f).select("face", "cx", "cy"), "face", name="node_id").withColumn("node_id", F.col("node_id") + top + 1)
     spokes = f.join(inner, "face").select(F.col("src").alias("u"), F.col("node_id").alias("v"))
-    return Graph(at.union(inner.select("node_id", F.col("cx"), F.col("cy"))), normalise(g.edges.select("u", "v").union(spokes)))
+    return Graph(at.union(inner.select("node_id", "cx", "cy")), normalise(g.edges.select("u", "v").union(spokes)))
 
 
 def barycentric(g: Graph) -> Graph:

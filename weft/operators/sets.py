@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import normalise
+from .graph import dense_ids, normalise
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -89,13 +89,10 @@ def shortest_paths(edges: DataFrame, source: int, rounds: int) -> DataFrame:
 
 
 def contiguous_chunks(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """rows with ``chunk``: n contiguous chunks of equal size by order, the remainder in the last; places by range partitions, not in one task."""
-    sorted_rows = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).checkpoint()
-    sizes = sorted_rows.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_lo"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.agg(F.sum("_c")).first()[0] or 0
-    placed = sorted_rows.join(F.broadcast(offsets), "_p").withColumn("_k", F.col("_i") - F.col("_lo") + F.col("_before"))
-    return placed.withColumn("chunk", F.least(F.lit(n - 1), F.floor(F.col("_k") / max(1, total // n))).cast("int")).drop("_p", "_i", "_c", "_lo", "_before", "_k")
+    """rows with ``chunk``: n contiguous chunks of equal size by order, the remainder in the last."""
+    placed = dense_ids(rows, order, name="_k")
+    total = placed.count()
+    return placed.withColumn("chunk", F.least(F.lit(n - 1), F.floor(F.col("_k") / max(1, total // n))).cast("int")).drop("_k")
 
 
 def side_counts(cut: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import dense_ids
+
 
 def cut_edges(plan: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, u, v, du, dv): edges whose ends are in different districts of plan(plan_id, node_id, district)."""
@@ -139,7 +141,4 @@ def loop_erasure(walk: DataFrame) -> DataFrame:
 
 def merge_sorted(lists: DataFrame) -> DataFrame:
     """(place, list_id, v): lists(list_id, pos, v) merged; places by range partitions and their sizes, not in one task."""
-    spark_rows = lists.repartitionByRange("v", "list_id", "pos").sortWithinPartitions("v", "list_id", "pos").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).checkpoint()
-    sizes = spark_rows.groupBy("_p").agg(F.count("*").alias("c"), F.min("_i").alias("_lo"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spark_rows.join(F.broadcast(offsets), "_p").select((F.col("_i") - F.col("_lo") + F.col("_before")).cast("long").alias("place"), "list_id", "v")
+    return dense_ids(lists.select("list_id", "pos", "v"), "v", "list_id", "pos", name="place").select("place", "list_id", "v")

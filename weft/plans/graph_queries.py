@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import random_int_sql, random_unit
 from ..operators import connect, enumerate, generators, planar, sampling, statistics
-from ..operators.graph import Graph, normalise
+from ..operators.graph import Graph, dense_ids
 from .registry import Registry
 
 R = Registry()
@@ -20,10 +20,8 @@ numbered AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS edge_id FROM
 
 
 def numbered(g: Graph) -> DataFrame:
-    """edges with edge_id from 0 by (u, v), for small graphs."""
-    from pyspark.sql import Window
-
-    return g.edges.select("u", "v", (F.row_number().over(Window.orderBy("u", "v")) - 1).cast("long").alias("edge_id"))
+    """edges with edge_id from 0 by (u, v)."""
+    return dense_ids(g.edges.select("u", "v"), "u", "v", name="edge_id")
 
 
 def unit_sql(seed: str, step: str, k: str) -> str:
