@@ -82,13 +82,13 @@ class _Arrays:
         self.docs, self.known, self.width, self.store, self.asked = docs, known, width, store, 0
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """node and sorted tokens of the nodes of stored pairs(node, other)."""
+        """node and sorted tokens of the nodes of stored pairs(node, other); of rows that share a doc_id, several times."""
         self.asked += 1
         name = f"arrays-{self.asked}"
         nodes = self.store.write(pairs.select("node").union(pairs.select("other")).distinct(), f"{name}-nodes")
         ids = self.store.write(self.known.select("node", "doc_id").join(small(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), f"{name}-ids")
         texts = self.docs.join(small(ids), self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        return self.store.write(self.read(texts).join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), name)
+        return self.store.write(self.read(texts).join(small(nodes), "node", "left_semi"), name)
 
     def read(self, docs: DataFrame) -> DataFrame:
         width = self.width
@@ -195,7 +195,7 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     return found.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))), store
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 4) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text).
 
     A document's set is its distinct ``width``-word shingles, lower-cased in A-Z (all its words if fewer); two rows link if
@@ -208,7 +208,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 2) -> DataFrame:
     """The rows of docs, all columns, less those of which a row of the same class stays: of each class of
     jaccard_classes() one row, that of least doc_id, a null one last. Rows without words all stay."""
     found, store = _classes(docs, width, threshold, hot_rows, few, rounds)
