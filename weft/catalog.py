@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, set_queries, table_queries
+from .plans import graph_queries, plan_queries, set_queries, table_queries
 
-_REGISTRIES = [graph_queries.R, set_queries.R, table_queries.R]
+_REGISTRIES = [graph_queries.R, plan_queries.R, set_queries.R, table_queries.R]
 
 QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
 ORACLE_SQL = {name: sql for r in _REGISTRIES for name, sql in r.sql.items()}
