@@ -122,7 +122,7 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     groups = groups.withColumn("q", F.lit(None).cast("array<bigint>"))  # most documents' would make the index twice as large
     groups = store.write(groups.withColumn("rank", F.col("node")), "groups")
     store.release()
-    met, live = candidates(groups, t, store, draws=3)
+    met, live = candidates(groups, t, store, draws=6)
     several = groups.where("several").select("unit", F.col("node").alias("head"))
     of = store.write(known.select("unit", "node", "n", "bits").join(several, "unit").distinct(), "members")
     own = of.select(F.col("head").alias("node"), F.col("node").alias("member"), F.col("bits").alias("own"))
@@ -195,7 +195,7 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     return found.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))), store
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text).
 
     A document's set is its distinct ``width``-word shingles, lower-cased in A-Z (all its words if fewer); two rows link if
@@ -208,7 +208,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, threshold: Threshold = Thre
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85, 100), hot_rows: int = 1 << 17, few: int = 4, rounds: int = 3) -> DataFrame:
     """The rows of docs, all columns, less those of which a row of the same class stays: of each class of
     jaccard_classes() one row, that of least doc_id, a null one last. Rows without words all stay."""
     found, store = _classes(docs, width, threshold, hot_rows, few, rounds)
