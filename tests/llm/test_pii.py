@@ -76,6 +76,12 @@ def test_other_kinds_keep_format_and_link(spark):
     assert got[8:11] == [(texts[8], 0), (None, 0), ("", 0)] and got[11][1] == 1
 
 
+def test_long_secrets_are_replaced_to_their_end(spark):
+    sizes = [8, 64, 65, 200, 201, 400, 1500, 300_000]
+    for n, (text, count) in zip(sizes, run(spark, [f'a token="{("Zq-" * n)[:n]}" b' for n in sizes]), strict=True):
+        assert count == 1 and re.fullmatch(rf'a token="[0-9a-f]{{{n}}}" b', text)
+
+
 def test_plan_is_native_and_columns_stay(spark):
     df = spark.createDataFrame([(1, "a@b.de", 2)], "doc_id long, text string, m int")
     out = pseudonymise(df, KEY)

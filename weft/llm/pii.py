@@ -17,7 +17,7 @@ from ._spark import pick
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,200}",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -195,7 +195,7 @@ def _secret(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, r"^((?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)", 1)
     value = F.substr(m, F.length(name) + 1, F.length(m))
     digest = F.sha2(F.concat(F.lit(f"{key}|secret|"), value), 256)
-    return F.concat(name, F.substr(F.repeat(digest, F.lit(4)), F.lit(1), F.length(value)))
+    return F.concat(name, F.substr(F.repeat(digest, F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value)))
 
 
 _MAKERS = {"email": _email, "access_key": _access_key, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
