@@ -82,6 +82,38 @@ def test_long_secrets_are_replaced_to_their_end(spark):
         assert count == 1 and re.fullmatch(rf'a token="[0-9a-f]{{{n}}}" b', text)
 
 
+def brute_cards(text):
+    out, at = [], 0
+    while m := re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])").search(text, at):
+        s = m[0]
+        ends = [e for e in range(len(s), 0, -1) if (e == len(s) or s[e] in " -") and 13 <= len(d := re.sub(r"\D", "", s[:e])) and luhn(d)]
+        if not ends:
+            out.append(text[at : m.start() + 1])
+            at = m.start() + 1
+            continue
+        d = re.sub(r"\D", "", s[: ends[0]])
+        x = d[0] + str(brute_feistel(int(d[1:-1]), 10 ** ((len(d) - 2) // 2), 10 ** ((len(d) - 1) // 2), "card")).zfill(len(d) - 2)
+        new = iter(x + next(c for c in "0123456789" if luhn(x + c)))
+        out += [text[at : m.start()], "".join(next(new) if c.isdigit() else c for c in s[: ends[0]])]
+        at = m.start() + ends[0]
+    return "".join(out) + text[at:]
+
+
+def test_shorter_ends_and_what_invalid_matches_cover(spark):
+    rng = random.Random(5)
+    groups = lambda n: "".join("".join(rng.choices("0123456789", k=rng.choice([1, 4, 5, 6, 13]))) + rng.choice([" ", " ", "-", " x "]) for _ in range(n))
+    cards = [groups(12) for _ in range(40)] + [groups(700)]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32"]
+    texts = cards + ["4111 1111 1111 1111 12/26", "1234 4111 1111 1111 1111"] + ibans + [ibans[0] + " AND", ibans[1] + " 2024", "AB12 " + ibans[0] + " 12 AND", "x@y.token: 4111-1111-1111-1111", "ip 300.1.1.1 12 555-223-4567 82 12345"]
+    got = [x for x, _ in run(spark, texts)]
+    assert got[: len(cards)] == [brute_cards(x) for x in cards]
+    rest = got[len(cards) :]
+    new = rest[0][:19]
+    assert luhn(new.replace(" ", "")) and new != texts[len(cards)][:19] and rest[0][19:] == " 12/26" and rest[1] == "1234 " + new
+    assert rest[2] != ibans[0] and rest[3] == rest[2].replace(" ", "") and rest[5:8] == [rest[2] + " AND", rest[3] + " 2024", "AB12 " + rest[2] + " 12 AND"]
+    assert rest[8].endswith(".invalid: " + new.replace(" ", "-")) and re.fullmatch(r"ip 300\.1\.1\.1 12 (?!555-223)\d{3}-\d{3}-\d{4} 82 12345", rest[9])
+
+
 def test_plan_is_native_and_columns_stay(spark):
     df = spark.createDataFrame([(1, "a@b.de", 2)], "doc_id long, text string, m int")
     out = pseudonymise(df, KEY)

@@ -26,6 +26,20 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A place where a kind may begin, with what lies ahead as groups: the first kind that matches, and a card. Places overlap, as a match may turn
+#: out invalid or too long. Secrets never do and are consumed, so that no long text of them is read from each; not where a mail address may hold the name.
+PLACE = f"(?=({ANY}))(?=({PATTERNS['card']})?)(?:(?<!@[A-Za-z0-9.\\-]{{1,253}}[.\\-]){PATTERNS['secret']})?"
+
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:]) for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 "
+        "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 "
+        "RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+#: Places of a text that are gone through at a time, so that what's made of them isn't copied for each of the others.
+LOT = 128
 
 #: Rounds of two half-steps each.
 ROUNDS = 5
@@ -82,6 +96,16 @@ def _half(k: Column) -> tuple[Column, Column]:
     return F.pow(F.lit(10.0), low).cast("long"), F.pow(F.lit(10.0), k - low).cast("long")
 
 
+def _ends(m: Column, before: str) -> Column:
+    """m and what it would be if it ended at an earlier border of its groups, longest first."""
+    return _let(F.split(m, f"(?={before})", -1), lambda x: F.transform(F.sequence(F.size(x), F.lit(1)), lambda k: F.array_join(F.slice(x, 1, k), "")))
+
+
+def _card_end(m: Column) -> Column:
+    """The longest of 13 to 19 digits that pass the Luhn check and end where m or a group of it does; null if there's none."""
+    return F.get(F.filter(_ends(m, "[ \\-]"), lambda x: _let(_digits(x), lambda d: (F.length(d) >= 13) & (_luhn_sum(d, 0) % 10 == 0))), F.lit(0))
+
+
 def _card(m: Column, key: str) -> Column:
     """The first digit stays, the last is the new check digit; 13 to 19 digits that fail the Luhn check aren't cards."""
 
@@ -158,11 +182,31 @@ def _date(m: Column, key: str) -> Column:
     return F.coalesce(*[F.when(m.rlike(p), _let(F.try_to_timestamp(m, F.lit(form)).cast("date"), of(form))) for p, form in tries])
 
 
+def _mod97(s: Column) -> Column:
+    return F.aggregate(F.split(s, ""), F.lit(0), lambda acc, c: F.when(c.rlike("^[0-9]$"), (acc * 10 + c.cast("int")) % 97).when(c.rlike("^[A-Z]$"), (acc * 100 + F.ascii(c) - 55) % 97).otherwise(acc))
+
+
+def _iban_valid(s: Column) -> Column:
+    rest = F.substr(s, F.lit(5), F.length(s) - 4)
+    return (F.length(s) >= 15) & (F.length(_digits(rest)) > 0) & (_mod97(F.concat(rest, F.substring(s, 1, 4))) == 1)
+
+
+def _iban_end(m: Column) -> Column:
+    """The valid one of its country's length, or m, or for other countries the longest valid one, that ends where m or a group of it does; else null."""
+    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair]), F.substring(m, 1, 2))
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+
+    def of(ends: Column, size: Column) -> Column:
+        first = F.filter(ends, lambda x: F.coalesce(F.length(plain(x)) == size, F.lit(False)))
+        others = F.when(size.isNull(), ends).otherwise(F.slice(ends, 1, 1))
+        return F.get(F.filter(F.concat(first, others), lambda x: _iban_valid(plain(x))), F.lit(0))
+
+    return _let(F.struct(_ends(m, " ").alias("ends"), size.alias("size")), lambda x: of(x["ends"], x["size"]))
+
+
 def _iban(m: Column, key: str) -> Column:
     """Valid by its remainder of 97: the digits after the country's letters and the check digits are permuted, group by group
     of 14 at most, and new check digits set; letters stay."""
-    mod97 = lambda s: F.aggregate(F.split(s, ""), F.lit(0), lambda acc, c: F.when(c.rlike("^[0-9]$"), (acc * 10 + c.cast("int")) % 97).when(c.rlike("^[A-Z]$"), (acc * 100 + F.ascii(c) - 55) % 97).otherwise(acc))
-
     def of(s: Column) -> Column:
         country, rest = F.substring(s, 1, 2), F.substr(s, F.lit(5), F.length(s) - 4)
 
@@ -171,13 +215,12 @@ def _iban(m: Column, key: str) -> Column:
             pieces = F.transform(F.sequence(F.lit(0), F.call_function("div", F.greatest(n - 1, F.lit(0)), F.lit(14)).cast("int")), lambda k: F.substr(d, k * 14 + 1, F.lit(14)))
             new = F.array_join(F.transform(pieces, lambda x, k: F.lpad(feistel(F.coalesce(F.try_to_number(x, F.lit("9" * 14)).cast("long"), F.lit(0).cast("long")), *_half(F.length(x)), key, "iban").cast("string"), F.length(x), F.lit("0"))), "")
             body = _refill(rest, new)
-            return _let(body, lambda r: F.concat(country, F.lpad((98 - mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
+            return _let(body, lambda r: F.concat(country, F.lpad((98 - _mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
 
-        valid = (mod97(F.concat(rest, country, F.substring(s, 3, 2))) == 1) & (F.length(s) >= 15) & (F.length(_digits(rest)) > 0)
         plain = _let(_digits(rest), build)
         # Blanks go back to where they stood.
         spaced = lambda new: F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["s"], c).alias("s"), acc["k"].alias("k"))).otherwise(F.struct(F.concat(acc["s"], F.substr(new, acc["k"], F.lit(1))).alias("s"), (acc["k"] + 1).alias("k"))), lambda acc: acc["s"])
-        return F.when(valid, _let(plain, spaced))
+        return F.when(_iban_valid(s), _let(plain, spaced))
 
     return _let(F.replace(m, F.lit(" "), F.lit("")), of)
 
@@ -201,27 +244,63 @@ def _secret(m: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "access_key": _access_key, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """A match's pseudonym by the first kind whose pattern it fits and that finds it valid; else the match itself."""
-    return F.coalesce(*[F.when(m.rlike(rf"^(?:{PATTERNS[kind]})$"), make(m, key)) for kind, make in _MAKERS.items()], m)
+def pseudonym(m: Column, card: Column, key: str) -> Column:
+    """(old, new) of the match m or its valid beginning, by the first kind that it fits and that finds it valid, or of the card that begins at the
+    same place, empty if there's none; null if nothing is valid."""
+    whole = {"iban": _iban_end, "card": _card_end}
+    pair = lambda old, make: _let(old, lambda x: F.when(x.isNotNull(), _let(make(x, key), lambda new: F.when(new.isNotNull(), F.struct(x.alias("old"), new.alias("new"))))))
+    first = [F.when(m.rlike(rf"^(?:{PATTERNS[kind]})$"), pair(whole.get(kind, lambda x: x)(m), make)) for kind, make in _MAKERS.items() if kind != "card"]
+    return F.coalesce(*first, F.when(card != "", pair(_card_end(card), _card)))
+
+
+def _rewrite(lead: Column, parts: Column) -> Column:
+    """(text, n) of lead and parts(own, width, taken, new), in turn: a part that no earlier match reaches into, with taken > 0, begins with a match of
+    that length, which may end in a later part. n counts matches that aren't their own pseudonyms."""
+    start = lambda skip: F.struct(skip.alias("skip"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = (acc["skip"] == 0) & (x["taken"] > 0)
+        gone = F.when(free, x["taken"]).otherwise(acc["skip"])
+        piece = F.concat(F.when(free, x["new"]).otherwise(F.lit("")), F.substr(x["own"], gone + 1, x["width"]))
+        return F.struct(F.greatest(gone - x["width"], F.lit(0)).alias("skip"), (acc["n"] + F.when(free & x["other"], 1).otherwise(0)).alias("n"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def lot(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, start(acc["skip"]), step)
+        return _let(done, lambda d: F.struct(d["skip"].alias("skip"), (acc["n"] + d["n"]).alias("n"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
+
+    lots = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(parts) - 1, F.lit(LOT)).cast("int")), lambda k: F.slice(parts, k * LOT + 1, LOT))
+    return F.aggregate(lots, start(F.lit(0)), lot, lambda acc: F.struct(F.concat(lead, F.array_join(acc["out"], "")).alias("text"), acc["n"].cast("long").alias("n")))
 
 
 def pseudonymise(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     """docs, all columns and rows, with pseudonyms in ``text``; with ``counts``, n_found (matches replaced) as well.
 
     A null text stays null, with n_found 0; an empty one stays empty. What looks like a number but isn't valid stays: digits that fail
-    their check, octets above 255, days that don't exist. Names of other columns may clash with none but n_found with ``counts``.
+    their check, octets above 255, days that don't exist. Cards and IBANs may end at a border of groups before the longest match does, and what an
+    invalid match covers is searched for others. Names of other columns may clash with none but n_found with ``counts``.
     Rows are worked on by themselves: no shuffle, whatever their number, and repeated rows get equal results.
     """
     pick(docs, "text")
     text = F.col("text")
     # Most texts have neither a digit nor an @ that would start one of the kinds.
     some = text.rlike("[0-9@]|(?i:password|passwd|secret|token|api_?key)")
-    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
-    gaps = F.split(text, ANY, -1)
-    made = F.transform(found, lambda m: pseudonym(m, key))
-    joined = lambda gaps, made: F.array_join(F.zip_with(gaps, made, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    both = F.when(some, _let(F.struct(found.alias("found"), made.alias("made")), lambda x: F.struct(joined(gaps, x["made"]).alias("text"), F.size(F.filter(F.zip_with(x["found"], x["made"], lambda a, b: a != b), lambda c: c)).cast("long").alias("n"))))
+    # A line end goes first, as a split leaves out an empty piece before a place at the beginning.
+    padded = F.concat(F.lit("\n"), text)
+    found, card, read = (F.regexp_extract_all(padded, F.lit(PLACE), F.lit(k)) for k in (1, 2, 0))
+
+    def rewritten(x: Column) -> Column:
+        def part(m: Column, k: Column) -> Column:
+            own = F.concat(F.get(x["read"], k), F.get(x["gaps"], k + 1))
+            return _let(
+                F.struct(own.alias("own"), pseudonym(m, F.get(x["card"], k), key).alias("p")),
+                lambda y: F.struct(y["own"].alias("own"), F.length(y["own"]).alias("width"), F.coalesce(F.length(y["p"]["old"]), F.lit(0)).alias("taken"), y["p"]["new"].alias("new"), F.coalesce(y["p"]["old"] != y["p"]["new"], F.lit(False)).alias("other")),
+            )
+
+        lead = F.get(x["gaps"], F.lit(0))
+        return _let(F.transform(x["found"], part), lambda parts: _rewrite(F.substr(lead, F.lit(2), F.length(lead)), parts))
+
+    places = F.struct(found.alias("found"), card.alias("card"), read.alias("read"), F.split(padded, PLACE, -1).alias("gaps"))
+    both = F.when(some & F.regexp_like(text, F.lit(ANY)), _let(places, rewritten))
     out = docs.withColumn("__both", both).withColumn("text", F.coalesce(F.col("__both.text"), text))
     if counts:
         out = out.withColumn("n_found", F.coalesce(F.col("__both.n"), F.lit(0)).cast("long"))
