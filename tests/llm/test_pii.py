@@ -114,6 +114,11 @@ def test_shorter_ends_and_what_invalid_matches_cover(spark):
     assert rest[8].endswith(".invalid: " + new.replace(" ", "-")) and re.fullmatch(r"ip 300\.1\.1\.1 12 (?!555-223)\d{3}-\d{3}-\d{4} 82 12345", rest[9])
 
 
+def test_access_key_without_digits(spark):
+    (text, count), = run(spark, ["the key AKIA" + "QWERTYUIOPASDFGH" + " of ours"])
+    assert count == 1 and re.fullmatch("the key AKIA[0-9A-F]{16} of ours", text)
+
+
 def test_plan_is_native_and_columns_stay(spark):
     df = spark.createDataFrame([(1, "a@b.de", 2)], "doc_id long, text string, m int")
     out = pseudonymise(df, KEY)

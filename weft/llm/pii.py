@@ -282,8 +282,8 @@ def pseudonymise(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     """
     pick(docs, "text")
     text = F.col("text")
-    # Most texts have neither a digit nor an @ that would start one of the kinds.
-    some = text.rlike("[0-9@]|(?i:password|passwd|secret|token|api_?key)")
+    # Most texts have none of what each of the kinds has: a digit, an @, AKIA or a secret's name.
+    some = text.rlike("[0-9@]|AKIA|(?i:password|passwd|secret|token|api_?key)")
     # A line end goes first, as a split leaves out an empty piece before a place at the beginning.
     padded = F.concat(F.lit("\n"), text)
     found, card, read = (F.regexp_extract_all(padded, F.lit(PLACE), F.lit(k)) for k in (1, 2, 0))
