@@ -20,6 +20,16 @@ def test_page_without_article():
     assert main_text(html) == WANT
 
 
+def test_unequal_paragraphs_without_article():
+    texts = [f"{k} " + "word " * (1000 if k == 5 else 60) + "end." for k in range(11)]
+    for tag in ("div", "li", "blockquote", "pre", "td", "p"):
+        body = "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+        html = f"<body><nav><a href=/>Home</a></nav><div><ul><li><a href=/a>Some other page</a></ul><div class=content>{body}</div><div class=sidebar>More</div></div><footer>x</footer>"
+        assert main_text(html) == "\n".join(texts)
+    nested = "".join(f"<div><p>{t}</p><p>{t}</p><p>{t}</p></div>" for t in texts)
+    assert main_text(f"<body>{nested}</body>") == "\n".join(t for t in texts for _ in range(3))
+
+
 def test_odd_input(spark):
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x") == ""
     assert main_text("just text") == "just text"

@@ -1,4 +1,4 @@
-"""Main text of web pages: parser events make lines, their text-to-tag ratio is smoothed and clustered, and the region that holds the dense lines is kept."""
+"""Main text of web pages: parser events make lines, their text-to-tag ratio is smoothed and clustered, and the article that holds the dense lines is kept, or the page where none does."""
 
 from __future__ import annotations
 
@@ -46,7 +46,6 @@ class Element:
     away: bool  # its text isn't the page's main text
     inside: bool  # of an article or main element
     heading_only: bool = False
-    depth: int = 0
 
 
 @dataclass
@@ -84,7 +83,7 @@ class Lines(HTMLParser):
         names = set(_NAME.findall(_CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower()))
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        e = Element(tag, up, up.away, up.inside, up.heading_only, up.depth + 1)
+        e = Element(tag, up, up.away, up.inside, up.heading_only)
         marked = bool(names & AWAY) and tag not in ("body", "html")
         if tag in ("article", "main") or role in ("main", "article"):
             # The article may stand in a form or header that wraps the page or was never closed.
@@ -203,11 +202,11 @@ def threshold(values: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def main_text(html: str | None, sigma: float = 1.5, mass: float = 0.7) -> str:
+def main_text(html: str | None, sigma: float = 1.5) -> str:
     """The main text of a page, blocks joined by line ends; empty for null, empty or textless pages.
 
-    An article or main element that holds dense lines is the region; else the smallest element that holds ``mass`` of the
-    dense lines' text. All lines of the region count that stand in no menu, advert, form or the like.
+    Article or main elements that hold a quarter of the dense lines' text or more are the region; else the whole page is, as no
+    share of the text tells where plain lines end that count. All lines of the region count that stand in no menu, advert, form or the like.
     """
     if not html:
         return ""
@@ -228,21 +227,7 @@ def main_text(html: str | None, sigma: float = 1.5, mass: float = 0.7) -> str:
     if any(inside) and sum(d for d, i in zip(dense, inside, strict=True) if i) >= 0.25 * total:
         chosen = inside
     else:
-        held: dict[Element, float] = {}
-        for x, d in zip(lines, dense, strict=True):
-            e = x.element
-            while e:
-                held[e] = held.get(e, 0.0) + d
-                e = e.parent
-        region = max((e for e, d in held.items() if d >= mass * total), key=lambda e: e.depth)
-        if region.tag in ("p", *HEADINGS) and region.parent:
-            region = region.parent
-        chosen = []
-        for x in lines:
-            e = x.element
-            while e and e is not region:
-                e = e.parent
-            chosen.append(e is region)
+        chosen = [True] * len(lines)
     # Lines that are links alone, outside running text, are menus whatever their element is.
     return "\n".join(t for t, x, keep in zip(texts, lines, chosen, strict=True) if keep and (x.element.inside or x.linked < 0.9 * len(t)))
 
