@@ -72,6 +72,13 @@ def test_spanning_trees(spark):
     assert comp.where("comp <> 0").count() == 0 and trees.count() == 30 * 11
 
 
+def test_wilson_trees_fail_rather_than_drop_edges(spark):
+    for edges, kw, says in [(spark.range(6).selectExpr("id AS u", "id + 1 AS v"), {"max_edges": 5}, "over 5 edges"), (spark.range(1 << 16 | 1).selectExpr("id AS u", "id + 1 AS v"), {}, "over 65536 edges"), (spark.sql("SELECT * FROM VALUES (0, 1), (2, 3) AS t(u, v)"), {}, "connected")]:
+        with pytest.raises(ValueError, match=says):
+            sampling.wilson_trees(spark, edges, 2, **kw)
+    assert sampling.wilson_trees(spark, spark.range(6).selectExpr("id AS u", "id + 1 AS v"), 2, max_edges=6).count() == 12
+
+
 def test_flip_chain_keeps_its_constraints(spark):
     chain = chains.FlipChain(5, 4, slack=0.3)
     rows = chain.run(0, 1.5, 200, 3)

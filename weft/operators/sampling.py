@@ -64,14 +64,25 @@ def _draw(seed: int, step: int, k: int) -> float:
     return fifth((r * 48271 + 11) % P) / P
 
 
-def wilson_trees(spark: SparkSession, edges: DataFrame, samples: int, seed: int = 1) -> DataFrame:
+def wilson_trees(spark: SparkSession, edges: DataFrame, samples: int, seed: int = 1, max_edges: int = 1 << 16) -> DataFrame:
     """(sample_id, u, v): uniform spanning trees of a small graph by loop-erased walks. A walk is sequential: one sample is one
-    group, and samples are spread over the cluster; edges(u, v) is broadcast."""
-    half = [(int(r.u), int(r.v)) for r in edges.select("u", "v").limit(1 << 16).collect()]
+    group, and samples are spread over the cluster; edges(u, v) is broadcast. Beyond ``max_edges`` edges, and on a graph that
+    isn't connected, where a walk would never end, the call fails."""
+    half = [(int(r.u), int(r.v)) for r in edges.select("u", "v").limit(max_edges + 1).collect()]
+    if len(half) > max_edges:
+        raise ValueError(f"over {max_edges} edges")
     near: dict[int, list[int]] = {}
     for u, v in sorted(half):
         near.setdefault(u, []).append(v)
         near.setdefault(v, []).append(u)
+    reached = set(list(near)[:1])
+    ahead = list(reached)
+    while ahead:
+        new = set(near[ahead.pop()]) - reached
+        reached |= new
+        ahead += new
+    if len(reached) < len(near):
+        raise ValueError("the graph isn't connected")
     shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in near.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
