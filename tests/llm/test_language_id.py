@@ -50,3 +50,9 @@ def test_held_out_accuracy_and_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert identify(empty, language_model(empty)).count() == 0
     assert {r.lang_pred for r in identify(docs, language_model(empty)).collect()} == {"und"}
+
+
+def test_long_runs_are_read_to_their_end():
+    model = learn({"aa": ["abab baba abba baab"] * 5, "zz": ["yzyz zyzy yzzy zyyz"] * 5})
+    text = "ab" * 120 + "yz" * 300
+    assert model.predict(text)[0] == "zz" and model.spans(text) == [(0, 240, 0), (240, 840, 1)]

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ._spark import pick
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of over 60 letters are several words, so that a change of language within one is seen.
+WORD = re.compile(r"[^\W\d_]{1,60}")
 
 # First code point and script of ranges, in order; "" is a script that none of these names.
 SCRIPTS = [
@@ -69,7 +70,7 @@ class Model:
         get = self.groups.get
         for w in words:
             starts.append(len(rows))
-            w = f"^{w[:60]}$"  # of a run of over 60 letters, scores are clipped long before
+            w = f"^{w}$"
             rows += [get(w[k : k + 3], none) for k in range(len(w) - 2)]
         total = np.add.reduceat(self.logs[rows], starts, axis=0)
         for k, w in enumerate(words):
@@ -142,7 +143,7 @@ def learn(samples: dict[str, list[str]]) -> Model:
         groups[lang], scripts[lang] = Counter(), Counter()
         for w, n in words[lang].items():
             scripts[lang][script(w[0])] += n
-            padded = f"^{w[:60]}$"
+            padded = f"^{w}$"
             for k in range(len(padded) - 2):
                 groups[lang][padded[k : k + 3]] += n
     every = set().union(*groups.values()) if groups else set()
