@@ -18,6 +18,12 @@ from ._spark import Stored, pick, small
 from ._words import SPACED, U, chunks, mix, windows, words
 
 
+#: Open tokens of a set that tell which bucket two sets meet in first; sets that share none of these meet in each bucket that both are in.
+FIRST_TOKENS = 64
+#: Rows of a bucket that are held against the whole bucket at once.
+LOT_ROWS = 1 << 12
+
+
 def _shingles(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for first, end, data, offsets in chunks(column):
         w = words(data, offsets, SPACED)
@@ -167,20 +173,16 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
         labels = components(links, store, f"labels-{step}")
         store.release()
 
-    # What is left, whole: rows alike in class, size and place stand for each other until the filters are passed.
-    kinds = open_rows.groupBy("token", "comp", "n", "i").agg((F.min("node") < F.max("node")).alias("several"), F.min("bits").alias("bits"), *[F.min(F.col("q")[k]).alias(f"q{k}") for k in range(4)])
-    kinds = kinds.withColumn("q", F.array("q0", "q1", "q2", "q3"))
-    # A bitmap filters where it is that of all rows of a kind.
-    sides = [kinds.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "i", "several", "bits", "q")]) for x in "ab"]
-    least = f"(({t.num} * (n_a + n_b) + {t.num + t.den - 1}) div {t.num + t.den})"
-    met = sides[0].join(sides[1], "token").where(
-        f"comp_a < comp_b AND {t.num} * n_a <= {t.den} * n_b AND {t.num} * n_b <= {t.den} * n_a AND least(n_a - i_a, n_b - i_b) >= {least}"
-        f" AND (several_a OR several_b OR bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {least} AND {_near('', '_a', '_b', t)})"
-    )
-    met = met.select("token", "comp_a", "n_a", "i_a", "comp_b", "n_b", "i_b")
-    row = lambda x: open_rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"i_{x}"), F.col("node").alias(f"node_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("q").alias(f"q_{x}"))
-    spread = met.join(row("a"), ["token", "comp_a", "n_a", "i_a"]).join(row("b"), ["token", "comp_b", "n_b", "i_b"]).where(f"bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * {least} AND {_near('', '_a', '_b', t)}")
-    more = spread.select(F.least("node_a", "node_b").alias("node"), F.greatest("node_a", "node_b").alias("other")).distinct().join(small(pairs), ["node", "other"], "left_anti")
+    # What is left, whole: sets of different classes meet in the bucket of the first token that both have open, and in no
+    # later one. Similar sets pass all filters there. A large bucket is dealt in lots.
+    firsts = open_rows.groupBy("node").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]), 1, FIRST_TOKENS).alias("firsts"))
+    lots = open_rows.groupBy("token").agg(F.ceil(F.count("*") / LOT_ROWS).cast("int").alias("lots"))
+    rows = open_rows.withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k].bitwiseXOR(F.col("q")[k + 2]) for k in range(2)}).join(firsts, "node").join(lots, "token")
+    left, right = rows.withColumn("lot", F.expr("cast(pmod(xxhash64(node), lots) as int)")), rows.withColumn("lot", F.explode(F.expr("sequence(0, lots - 1)")))
+    met = left.alias("a").join(right.alias("b"), F.expr(
+        f"a.token = b.token AND a.lot = b.lot AND a.comp < b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)} AND coalesce(get(array_intersect(a.firsts, b.firsts), 0), a.token) = a.token"
+    ))
+    more = met.select(F.least("a.node", "b.node").alias("node"), F.greatest("a.node", "b.node").alias("other")).distinct().join(small(pairs), ["node", "other"], "left_anti")
     more = store.write(screen(more, marks, t), "more")
     second = verify(more, arrays.of(more), t, store, "links-more")
     if second.limit(1).count():
