@@ -19,7 +19,9 @@ from ._words import SPACED, U, chunks, mix, windows, words
 
 
 #: Open tokens of a set that tell which bucket two sets meet in first; sets that share none of these meet in each bucket that both are in.
-FIRST_TOKENS = 64
+FIRST_TOKENS = 32
+#: Buckets of a group's members are named by numbers from here on; those of tokens have 32 bits.
+UNITS = 1 << 62
 #: Rows of a bucket that are held against the whole bucket at once.
 LOT_ROWS = 1 << 12
 
@@ -81,6 +83,15 @@ def _near(a: str, b: str, c: str, t: Threshold) -> str:
     return f"{' + '.join(f'bit_count({q1}[{k}] ^ {q2}[{k}])' for k in range(4))} <= {n1} + {n2} - 2 * (({t.num} * ({n1} + {n2}) + {t.num + t.den - 1}) div {t.num + t.den})"
 
 
+def _fits(a: str, b: str, t: Threshold) -> str:
+    """SQL of the length, positional and 64-bit bitmap filters of rows a, b, each of one set."""
+    least = f"(({t.num} * ({a}.n + {b}.n) + {t.num + t.den - 1}) div {t.num + t.den})"
+    return (
+        f"{t.num} * {a}.n <= {t.den} * {b}.n AND {t.num} * {b}.n <= {t.den} * {a}.n AND least({a}.n - {a}.i, {b}.n - {b}.i) >= {least}"
+        f" AND bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {least}"
+    )
+
+
 class _Arrays:
     """Whole sets of the documents that pairs name, read from their texts when they're asked for."""
 
@@ -138,7 +149,7 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     pairs = met.union(expanded).union(inside).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
     pairs = store.write(pairs.where("node <> other").distinct(), "all-pairs")
     live = live.join(own, "node", "left").select("token", F.coalesce("member", "node").alias("node"), "n", "i", F.coalesce("own", "bits").alias("bits"))
-    inner = of.select(F.col("unit").alias("token"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("i"), "bits")
+    inner = of.select(F.shiftrightunsigned("unit", 2).bitwiseOR(F.lit(UNITS)).alias("token"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("i"), "bits")
     live = store.write(live.union(inner), "live-members")
     store.release()
 
@@ -156,8 +167,8 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
     step = 0
     while True:
         open_rows = live.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = open_rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        open_rows = store.write(open_rows.join(mixed, "token", "left_semi"), f"open-{step}")
+        mixed = open_rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / LOT_ROWS).cast("int").alias("lots")).where("lo < hi").select("token", "lots")
+        open_rows = store.write(open_rows.join(mixed, "token"), f"open-{step}")
         by_comp = open_rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
         rows, pairs_left = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
         if not rows or pairs_left <= few * rows or step == rounds:
@@ -175,12 +186,11 @@ def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, f
 
     # What is left, whole: sets of different classes meet in the bucket of the first token that both have open, and in no
     # later one. Similar sets pass all filters there. A large bucket is dealt in lots.
-    firsts = open_rows.groupBy("node").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]), 1, FIRST_TOKENS).alias("firsts"))
-    lots = open_rows.groupBy("token").agg(F.ceil(F.count("*") / LOT_ROWS).cast("int").alias("lots"))
-    rows = open_rows.withColumn("several", F.lit(False)).withColumns({f"q{k}": F.col("q")[k].bitwiseXOR(F.col("q")[k + 2]) for k in range(2)}).join(firsts, "node").join(lots, "token")
+    firsts = open_rows.groupBy("node").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("token") < UNITS, F.struct("i", F.col("token").cast("int").alias("token"))))), lambda x: x["token"]), 1, FIRST_TOKENS).alias("firsts"))
+    rows = open_rows.join(firsts, "node")
     left, right = rows.withColumn("lot", F.expr("cast(pmod(xxhash64(node), lots) as int)")), rows.withColumn("lot", F.explode(F.expr("sequence(0, lots - 1)")))
     met = left.alias("a").join(right.alias("b"), F.expr(
-        f"a.token = b.token AND a.lot = b.lot AND a.comp < b.comp AND {may_match('a', 'b', t)} AND {_near('a.', 'b.', '', t)} AND coalesce(get(array_intersect(a.firsts, b.firsts), 0), a.token) = a.token"
+        f"a.token = b.token AND a.lot = b.lot AND a.comp < b.comp AND {_fits('a', 'b', t)} AND {_near('a.', 'b.', '', t)} AND coalesce(get(array_intersect(a.firsts, b.firsts), 0), a.token) = a.token"
     ))
     more = met.select(F.least("a.node", "b.node").alias("node"), F.greatest("a.node", "b.node").alias("other")).distinct().join(small(pairs), ["node", "other"], "left_anti")
     more = store.write(screen(more, marks, t), "more")
