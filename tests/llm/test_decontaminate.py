@@ -41,12 +41,14 @@ def fixture(seed):
     return [*docs, (500, None, "k"), (501, "", "k"), (1, docs[1][1], "k"), (502, "filler word " * 100_000 + (items[3][1] or ""), "k"), (503, "A-B_c" * 3, "k")], items
 
 
-@pytest.mark.parametrize("seed,block_bytes,shard", [(1, 1 << 20, 1 << 18), (2, 40, 1 << 18), (3, 1 << 20, 50)])
-def test_against_brute_force(spark, monkeypatch, seed, block_bytes, shard):
+@pytest.mark.parametrize("seed,block_bytes,shard,held", [(1, 1 << 20, 1 << 18, 4), (2, 40, 1 << 18, 100), (3, 1 << 20, 50, 4), (4, 150, 1 << 18, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, block_bytes, shard, held):
     docs, items = fixture(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string, n_hit string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(D, "SHARD_SUFFIXES", shard)
+    monkeypatch.setattr(D, "BLOCKS_HELD", held)
+    monkeypatch.setattr(D, "WINDOWS_AT_ONCE", 7)
     got = D.find_contamination(df, bench, block_bytes=block_bytes).collect()
     assert sorted(tuple(r)[:6] for r in got) == sorted(brute(docs, items))
     texts = dict(d[:2] for d in docs)
@@ -74,3 +76,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in D.find_contamination(docs, none).collect()] == [(2, 0, 0)]
     assert D.find_contamination(docs.limit(0), none).count() == 0
+
+
+def test_clashing_names_null_items_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCKS_HELD", 1)
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, "x", 1, 2), (1, text, "x", 1, 2), (None, "fine words", "y", 3, 4), (2, None, None, 5, 6)], "`doc_id` long, text string, `__text` string, at long, items long")
+    bench = spark.createDataFrame([(None, text), (4, "other " * 3), (None, "w0"), (6, None)], "item_id long, text string")
+    for size in (1 << 20, 5):
+        got = D.find_contamination(docs, bench, block_bytes=size).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got] == [(None, 0, 0, False), (1, 20, 1, True), (1, 20, 1, True), (2, 0, 0, False)]
+        assert got[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+        kept = D.decontaminate(docs, bench, block_bytes=size)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "fine words", "y", 3, 4), (2, None, None, 5, 6)], key=str)
