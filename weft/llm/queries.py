@@ -107,9 +107,9 @@ iw AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, k + 1, k + s
 dw AS (SELECT doc_id, size, k, array_to_string(list_slice(w, k + 1, k + size), ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(n - size + 1)) AS k FROM d, (SELECT DISTINCT size FROM iw) WHERE n >= size)),
 m AS (SELECT doc_id, k, size, item_id FROM dw JOIN iw USING (size, win)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM m) GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
-r AS (SELECT r, size, unnest(range(greatest(n - 12, 1))) AS j, w FROM (SELECT row_number() OVER (ORDER BY item_id, w) AS r, w, n, least(n, 13) AS size FROM i)),
-rm AS (SELECT doc_id, r, k, k - j AS diagonal, size, k - row_number() OVER (PARTITION BY doc_id, r, k - j ORDER BY k) AS island FROM dw JOIN (SELECT r, size, j, array_to_string(list_slice(w, j + 1, j + size), ' ') AS win FROM r) USING (size, win)),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+rw AS (SELECT r, size, unnest(range(greatest(n - 12, 1))) AS j, w FROM (SELECT row_number() OVER (ORDER BY item_id, w) AS r, w, n, least(n, 13) AS size FROM i)),
+rm AS (SELECT doc_id, r, k, k - j AS diagonal, size, k - row_number() OVER (PARTITION BY doc_id, r, k - j ORDER BY k) AS island FROM dw JOIN (SELECT r, size, j, array_to_string(list_slice(w, j + 1, j + size), ' ') AS win FROM rw) USING (size, win)),
 l AS (SELECT doc_id, count(*) AS n_matches, max(words) AS longest_match FROM (SELECT doc_id, count(*) + any_value(size) - 1 AS words FROM rm GROUP BY doc_id, r, diagonal, island) GROUP BY doc_id)
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= n AS contaminated,
   coalesce(n_matches, 0) AS n_matches, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
