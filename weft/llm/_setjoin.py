@@ -2,8 +2,8 @@
 
 Rare tokens come first: a sketch of hashed counters, filled from all rows, orders them. Each distinct set is indexed under
 the tokens of its prefix. Within a token's bucket, pairs pass that the length, positional and bitmap filters can't rule out.
-No stage emits all pairs of a bucket: the first one emits for each set one partner, and the sets that have any; only what
-those partners leave open is joined again.
+The first stage emits no pairs but one partner, or a few, for each set, and the sets that have any; only what those
+partners leave open is joined again, then with all pairs that pass the filters.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import small
+from ._spark import releasing, small, small_batches
 from ._words import U, distinct_sorted, mix
 
 #: Counters of the sketch: a fixed size, whatever the input.
@@ -83,7 +83,8 @@ def sketch(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]])
         level = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
         return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], type=pa.int32()), "levels": pa.array([level.tobytes()], type=pa.binary())})
 
-    parts = texts.mapInArrow(count, "chunk int, counts binary, at array<long>, rest array<long>").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
+    with small_batches(texts.sparkSession):
+        parts = texts.mapInArrow(releasing(count), "chunk int, counts binary, at array<long>, rest array<long>").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
     levels = np.zeros(size, dtype=np.uint8)
     for r in parts:
         levels[r.chunk * (size // _CHUNKS) : (r.chunk + 1) * (size // _CHUNKS)] = np.frombuffer(r.levels, dtype=np.uint8)
@@ -131,8 +132,8 @@ def cold_tokens(s: Sets, levels: np.ndarray, hot_rows: int, t: Threshold) -> np.
 #: Sets of so many tokens have bitmaps of 128 bits besides those of 64.
 WIDE = 96
 _WIDE_COLUMNS = ["q0", "q1"]
-#: Partitions of the index at least, so that what a row takes doesn't hang on how many rows of a set happen to meet in one.
-INDEX_PARTITIONS = 64
+#: Partitions of the index at least, and rows of it for each of them.
+INDEX_PARTITIONS, INDEX_ROWS = 64, 250_000
 
 
 def _may_match(a: np.ndarray, b: np.ndarray, n, i, bits, wide, several, t: Threshold) -> np.ndarray:
@@ -161,13 +162,13 @@ def may_match(a: str, b: str, t: Threshold) -> str:
     )
 
 
-def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int = 0, pairs_at_once: int = 1 << 19) -> DataFrame:
-    """index(token, node, rank, n, i, bits, several, q0, q1): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank, i: the draw or -1) with
+def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int = 0, n_rows: int = 0, pairs_at_once: int = 1 << 18) -> DataFrame:
+    """index of n_rows rows (token, node, rank, n, i, bits, several, q0, q1): the prefix tokens of distinct sets. Rows of two kinds: (node, other, rank, i: the draw or -1) with
     a set's passing partner of lowest rank in this task's buckets, if that's below its own; and, other null, the index rows
     that have a partner. draws: for each set as many partners more, drawn by hashes of the pairs.
     """
     spark = index.sparkSession
-    rows = index.repartition(max(INDEX_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token").select("token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS)
+    rows = index.repartition(max(INDEX_PARTITIONS, -(-n_rows // INDEX_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), "token").select("token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -241,7 +242,7 @@ def bucket_pass(index: DataFrame, t: Threshold, merge: bool = False, draws: int
                 none, zero = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
                 yield pa.RecordBatch.from_pydict({"node": node[first], "other": node[order[partner[first]]], "token": zero, "rank": by, "n": zero, "i": pa.array(np.full(m, k, np.int32)), "bits": none, "several": pa.nulls(m, pa.bool_()), **{c: none for c in _WIDE_COLUMNS}})
 
-    return rows.mapInArrow(run, "node long, other long, token int, rank long, n int, i int, bits long, several boolean, q0 long, q1 long")
+    return rows.mapInArrow(releasing(run), "node long, other long, token int, rank long, n int, i int, bits long, several boolean, q0 long, q1 long")
 
 
 def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False, draws: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +255,8 @@ def candidates(nodes: DataFrame, t: Threshold, store, merge: bool = False, draws
     columns = ["token", "node", "rank", "n", "i", "bits", "several", *_WIDE_COLUMNS]
     nodes = nodes.withColumns({c: F.coalesce(F.col("q")[k], F.lit(0)) for k, c in enumerate(_WIDE_COLUMNS)})
     index = lambda rows: rows.select("node", "rank", F.col("n").cast("int").alias("n"), "bits", "several", "cold", *_WIDE_COLUMNS, F.posexplode("prefix").alias("i", "token"))
-    passed = store.write(bucket_pass(index(nodes).where("i < cold").select(*columns), t, merge, draws), "passed")
+    n_rows = nodes.agg(F.sum(F.least("cold", F.size("prefix")).cast("long"))).first()[0] or 0
+    passed = store.write(bucket_pass(index(nodes).where("i < cold").select(*columns), t, merge, draws, n_rows), "passed")
     store.release()
     hot = index(nodes.where("cold < size(prefix)")).where("i >= cold").select(*columns)
     if merge:
@@ -307,7 +309,7 @@ def screen(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
                 keep = np.bitwise_count(a ^ b).sum(axis=1) <= na + nb - 2 * t.overlap(na + nb)
                 yield x.select([0, 1]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "node long, other long")
+    return both.mapInArrow(releasing(run), "node long, other long")
 
 
 def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold, store, name: str) -> DataFrame:
@@ -330,7 +332,7 @@ def verify(pairs: DataFrame, arrays: DataFrame, t: Threshold, store, name: str)
                 keep.append(t.den * common >= t.num * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
-    return store.write(both.mapInArrow(run, "node long, other long"), name)
+    return store.write(both.mapInArrow(releasing(run), "node long, other long"), name)
 
 
 #: Links that one task joins into classes at most; beyond it they are joined by rounds over all executors.

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +20,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a folder of this machine's only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, one of this machine's, if Spark runs on this machine alone, as in tests; else a ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='weft-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Rows of a batch that goes to Python, so that rows as wide as two long documents' sets don't fill an executor.
+BATCH_ROWS = 1 << 10
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of few rows, in what runs meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def releasing(run: Callable) -> Callable:
+    """run over batches, after which the worker, which waits for other tasks, gives free memory back."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # other C libraries have no such call
+                pass
+
+    return out
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in upper or lower case: those given, behind as many underscores as that takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Stored:
     """Tables written into one run's folder within the shared folder: they cut lineage and survive lost executors."""
 
@@ -31,7 +81,8 @@ class Stored:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

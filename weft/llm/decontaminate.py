@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Stored, pick
+from ._spark import Stored, pick, releasing
 from ._words import ALNUM, chunks, words
 
 #: Suffixes of a shard at most, but for the rest of the chunk that reaches it.
@@ -238,7 +238,7 @@ def _hit_rows(docs: DataFrame, shared: list, width: int, matches: bool) -> DataF
                 names=["id", "key", "at", "size", "items", "unnamed", "matches"],
             )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, {_HITS}")
+    return docs.mapInArrow(releasing(run), f"id {docs.schema['id'].dataType.simpleString()}, key long, {_HITS}")
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, width: int, share: float, block_bytes: int, clean_only: bool, matches: bool) -> DataFrame:
@@ -291,7 +291,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, width: int, share: float, block
                 out, names = [*out, pa.array(h.matches, type=pa.list_(_ARROW_MATCH))], [*names, "matches"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(releasing(run), ddl)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05, block_bytes: int = 8 << 20, matches: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, components, folded, make_sets, may_match, prefixes, screen, signature, sketch, verify
-from ._spark import Stored, pick, small
+from ._spark import Stored, pick, releasing, small, spare
 from ._words import SPACED, U, chunks, mix, windows, words
 
 
@@ -74,7 +74,7 @@ def document_sets(docs: DataFrame, width: int, t: Threshold, levels: np.ndarray,
                 )
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary, q array<long>")
+    return docs.mapInArrow(releasing(run), f"doc_id {kind}, key long, n long, node long, bits long, unit long, cold int, prefix array<int>, sig binary, q array<long>")
 
 
 def _near(a: str, b: str, c: str, t: Threshold) -> str:
@@ -119,7 +119,7 @@ class _Arrays:
                     some = np.flatnonzero(s.n)
                     yield pa.RecordBatch.from_pydict({"node": s.node[some], "tokens": pa.array([s.tokens[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in some], type=pa.binary())})
 
-        return docs.select("text").mapInArrow(run, "node long, tokens binary")
+        return docs.select("text").mapInArrow(releasing(run), "node long, tokens binary")
 
 
 def _classes(docs: DataFrame, width: int, threshold: Threshold, hot_rows: int, few: int, rounds: int) -> tuple[DataFrame, Stored]:
@@ -229,12 +229,14 @@ def one_of_each(docs: DataFrame, width: int = 4, threshold: Threshold = Threshol
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     stay = rows.groupBy("comp").agg(F.min(first).alias("first")).select(F.col("comp").alias("c"), F.col("first.doc_id").alias("d"), F.col("first.key").alias("k0"))
     marked = rows.join(stay, rows["comp"] == stay["c"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k0")))
-    gone = store.write(marked.where("NOT stays").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")), "gone")
-    twice = store.write(marked.where("stays AND k > 1").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")), "twice")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["__d"]) & (keyed["__key"] == other["__k"])
+    key, other_id, other_key = spare(docs, "key", "other_id", "other_key")
+    ends = [F.col("doc_id").alias(other_id), F.col("key").alias(other_key)]
+    gone = store.write(marked.where("NOT stays").select(*ends), "gone")
+    twice = store.write(marked.where("stays AND k > 1").select(*ends), "twice")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other[other_id]) & (keyed[key] == other[other_key])
     out = keyed.join(small(gone), same(gone), "left_anti")
     if twice.limit(1).count():  # rows that are there twice have one key
-        again = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates(["doc_id", "__key"])
+        again = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates(["doc_id", key])
         out = out.join(small(twice), same(twice), "left_anti").unionByName(again)
-    return out.drop("__key")
+    return out.drop(key)

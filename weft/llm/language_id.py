@@ -19,6 +19,13 @@ from ._spark import pick
 
 #: Runs of over 60 letters are several words, so that a change of language within one is seen.
 WORD = re.compile(r"[^\W\d_]{1,60}")
+#: Numerals that patterns take for letters, such as fractions and circled numbers.
+_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+
+
+def letters(text: str) -> str:
+    """text with blanks for numerals that aren't digits."""
+    return text if text.isascii() or not _NUMERAL.search(text) else _NUMERAL.sub(" ", text)
 
 # First code point and script of ranges, in order; "" is a script that none of these names.
 SCRIPTS = [
@@ -83,7 +90,7 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(first character, end character, language index) of spans of one language, over all words in order."""
-        found = list(WORD.finditer(text))
+        found = list(WORD.finditer(letters(text)))
         if not found:
             return []
         path = self.path(self.score([m[0].lower() for m in found]))
@@ -116,7 +123,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most words' spans and a certainty of 0 to 1; und and 0 for a null text or one without a letter."""
-        found = WORD.findall(text.lower()) if text else []
+        found = WORD.findall(letters(text.lower())) if text else []
         if not found or not self.langs:
             return "und", 0.0
         scores = self.score(found)
@@ -139,7 +146,7 @@ def learn(samples: dict[str, list[str]]) -> Model:
     words: dict[str, Counter] = {}
     scripts: dict[str, Counter] = {}
     for lang in langs:
-        words[lang] = Counter(w for t in samples[lang] for w in set(WORD.findall(t.lower())))
+        words[lang] = Counter(w for t in samples[lang] for w in set(WORD.findall(letters(t.lower()))))
         groups[lang], scripts[lang] = Counter(), Counter()
         for w, n in words[lang].items():
             scripts[lang][script(w[0])] += n

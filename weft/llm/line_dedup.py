@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._setjoin import SKETCH_BITS, Threshold, candidates, cold_tokens, make_sets, may_match, prefixes, sketch, verify, wide_bitmaps
-from ._spark import Stored, pick, small
+from ._spark import Stored, pick, releasing, small
 from ._words import SPACED, chunks, words
 
 
@@ -76,7 +77,7 @@ def line_sets(docs: DataFrame, t: Threshold, room: int, levels: np.ndarray, hot_
         if held:
             yield tell(held)
 
-    return docs.mapInArrow(run, "rank long, key long, node long, n int, bits long, cold int, prefix array<int>, q array<long>")
+    return docs.mapInArrow(releasing(run), "rank long, key long, node long, n int, bits long, cold int, prefix array<int>, q array<long>")
 
 
 def _line_arrays(docs: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def _line_arrays(docs: DataFrame) -> DataFrame:
                 some = np.flatnonzero(s.n)
                 yield pa.RecordBatch.from_pydict({"node": s.node[some], "tokens": pa.array([s.tokens[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in some], type=pa.binary())})
 
-    return docs.mapInArrow(run, "node long, tokens binary")
+    return docs.mapInArrow(releasing(run), "node long, tokens binary")
 
 
 def _places(docs: DataFrame, store: Stored) -> tuple[DataFrame, int, DataFrame | None, int]:
@@ -103,11 +104,15 @@ def _places(docs: DataFrame, store: Stored) -> tuple[DataFrame, int, DataFrame |
     what gives doc_id back: a table of places, or else the doc_id of place 0, which is null's, were it one."""
     lo, hi, lines = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
     room = 1 << max(1, int((lines or 0) + 1).bit_length())
-    if lo is None or (hi - lo + 2) * room < 1 << 62:
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType) and (lo is None or (hi - lo + 2) * room < 1 << 62):
         return docs.withColumn("place", F.coalesce(F.col("doc_id") - F.lit(lo or 0) + 1, F.lit(0)).cast("long")), room, None, (lo or 0) - 1
-    ranked = docs.select("doc_id").distinct().orderBy(F.col("doc_id").asc_nulls_first()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    ranked = store.write(docs.sparkSession.createDataFrame(ranked, f"__id {docs.schema['doc_id'].dataType.simpleString()}, place long"), "places")
-    return docs.join(ranked, docs["doc_id"].eqNullSafe(ranked["__id"])).drop("__id"), room, ranked, 0
+    # Ranges of ids are sorted by themselves and numbered through, so that no task sees all of them.
+    ids = docs.select(F.col("doc_id").alias("id")).distinct().repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    ids = store.write(ids.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ids")
+    sizes = ids.groupBy("part").agg(F.count("*").alias("k"), F.min("at").alias("lo"))
+    shift = sizes.select("part", (F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("lo")).alias("shift"))
+    ranked = store.write(ids.join(shift, "part").select("id", (F.col("at") + F.col("shift")).cast("long").alias("place")), "places")
+    return docs.join(ranked, docs["doc_id"].eqNullSafe(ranked["id"])).drop("id"), room, ranked, 0
 
 
 def later_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), hot_rows: int = 1 << 17) -> DataFrame:
@@ -140,7 +145,7 @@ def later_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), hot_row
     if ranked is None:
         gone = gone.select(F.when(F.col("place") > 0, F.col("place") + shift).alias("doc_id"), "key", "gone")
     else:
-        gone = gone.join(ranked, "place").select(F.col("__id").alias("doc_id"), "key", "gone")
+        gone = gone.join(ranked, "place").select(F.col("id").alias("doc_id"), "key", "gone")
     gone = store.write(gone, "gone")
     store.release()
     return gone
@@ -153,15 +158,18 @@ def dedup_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), counts:
     similarity with a line that stands earlier, in order of doc_id and of lines within it, reaches the threshold, whether
     or not that line stays itself. Lines without words stay. A null text stays null; rows with a null doc_id come first. Rows that
     share a doc_id stand at the same place, so that their lines of equal number aren't later than each other. Clashing names
-    of other columns don't matter, but for n_lines and n_removed with ``counts``. An empty table stays empty.
+    of other columns don't matter; with ``counts``, n_lines and n_removed take the place of columns of these names. An empty table
+    stays empty.
     """
-    source = docs.withColumn("__key", F.xxhash64("text"))
+    if counts:
+        docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     plain = pick(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
-    gone = later_lines(plain, threshold, hot_rows).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"), F.col("gone").alias("__gone"))
-    both = source.join(small(gone), source["doc_id"].eqNullSafe(gone["__doc"]) & (source["__key"] == gone["__k"]), "left").drop("__doc", "__k", "__key")
+    gone = later_lines(plain, threshold, hot_rows)
+    text_at, id_at, names = docs.columns.index("text"), docs.columns.index("doc_id"), docs.columns
+    source = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    both = source.join(small(gone), source[f"c{id_at}"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(source[f"c{text_at}"]) == gone["key"]), "left").drop("doc_id", "key")
     schema = docs.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (", n_lines long, n_removed long" if counts else "")
-    text_at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,4 +187,4 @@ def dedup_lines(docs: DataFrame, threshold: Threshold = Threshold(4, 5), counts:
                 columns += [pa.array(n_lines, type=pa.int64()), pa.array(n_removed, type=pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_removed"] if counts else names)
 
-    return both.mapInArrow(run, ddl)
+    return both.mapInArrow(releasing(run), ddl)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Stored, pick
+from ._spark import Stored, pick, spare
 
 LEVELS = ("domain", "lang", "source")
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -74,7 +74,7 @@ def mix(
     all its rows in epochs 0 to k - 1, and in epoch k the rows, in that epoch's order, whose running sum of tokens is r at
     most. Rows of one doc_id in a leaf come together, in or out. Null and empty lang, source or domain are the same node; a null text
     has no tokens and comes with its leaf's others; a leaf without tokens gives nothing. An empty table gives an empty one.
-    Columns named n_tokens, epoch and domain are replaced.
+    Columns named n_tokens, epoch and domain, in upper or lower case, are replaced; names of other columns don't matter.
 
     No task holds a leaf: running sums are taken over ``buckets`` ranges of the order first, then within the one range where
     a leaf's budget ends. The plan of a leaf is one row, joined to the documents in whatever way its size allows.
@@ -82,9 +82,10 @@ def mix(
     spark, store = docs.sparkSession, Stored(docs.sparkSession, "mix")
     pick(docs, "doc_id", "text", *LEVELS[1:])
     node = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    columns = [c for c in docs.columns if c not in ("n_tokens", "epoch", "domain")]
-    source = docs.select(*[f"`{c}`" for c in columns], node(domain).alias("domain"), node(F.col("lang")).alias("_lang"), node(F.col("source")).alias("_source"), n_tokens(F.col("text")).alias("n_tokens"))
-    rows = store.write(source.select("doc_id", "domain", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens"), "rows")
+    columns = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch", "domain")]
+    lang, origin, d, l, s, full, stop, n = spare(docs, "_lang", "_source", "_d", "_l", "_s", "_full", "_stop", "_n")  # noqa: E741
+    source = docs.select(*[f"`{c}`" for c in columns], node(domain).alias("domain"), node(F.col("lang")).alias(lang), node(F.col("source")).alias(origin), n_tokens(F.col("text")).alias("n_tokens"))
+    rows = store.write(source.select("doc_id", "domain", F.col(lang).alias("lang"), F.col(origin).alias("source"), "n_tokens"), "rows")
     leaves = store.write(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     got = budgets(leaves, weights, total * share[0] // share[1], max_epochs)
@@ -100,11 +101,11 @@ def mix(
     keys = last.groupBy(*LEVELS, "key", "rest", "before").agg(F.sum("n_tokens").alias("tokens"))
     keys = keys.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("key"))).where("upto > rest").groupBy(*LEVELS).agg(F.min("key").alias("stop"))
     # Rows of the epoch's order that come before the first that would go beyond the budget; where none would, the plan has no such epoch.
-    plan = store.write(plan.join(keys, list(LEVELS), "left").select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "full", "stop"), "whole-plan")
-    chosen = source.join(plan, (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
-    epochs = F.col("full") + F.when(order_key(seed, F.col("full"), F.col("doc_id")) < F.col("stop"), 1).otherwise(0)
-    chosen = chosen.withColumn("_n", epochs).where("_n > 0")
-    return chosen.select(*[F.col(f"`{c}`") for c in columns], "domain", "n_tokens", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("epoch"))
+    plan = store.write(plan.join(keys, list(LEVELS), "left").select(F.col("domain").alias(d), F.col("lang").alias(l), F.col("source").alias(s), F.col("full").alias(full), F.col("stop").alias(stop)), "whole-plan")
+    chosen = source.join(plan, (F.col("domain") == F.col(d)) & (F.col(lang) == F.col(l)) & (F.col(origin) == F.col(s)))
+    epochs = F.col(full) + F.when(order_key(seed, F.col(full), F.col("doc_id")) < F.col(stop), 1).otherwise(0)
+    chosen = chosen.withColumn(n, epochs).where(F.col(n) > 0)
+    return chosen.select(*[F.col(f"`{c}`") for c in columns], "domain", "n_tokens", F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias("epoch"))
 
 
 def default_domain(source: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import pick
+from ._spark import pick, spare
 
 # Patterns of the kinds, in the order in which they are tried at a place. Java syntax.
 PATTERNS = {
@@ -301,7 +301,8 @@ def pseudonymise(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
 
     places = F.struct(found.alias("found"), card.alias("card"), read.alias("read"), F.split(padded, PLACE, -1).alias("gaps"))
     both = F.when(some & F.regexp_like(text, F.lit(ANY)), _let(places, rewritten))
-    out = docs.withColumn("__both", both).withColumn("text", F.coalesce(F.col("__both.text"), text))
+    [name] = spare(docs, "both")
+    out = docs.withColumn(name, both).withColumn("text", F.coalesce(F.col(f"{name}.text"), text))
     if counts:
-        out = out.withColumn("n_found", F.coalesce(F.col("__both.n"), F.lit(0)).cast("long"))
-    return out.drop("__both")
+        out = out.withColumn("n_found", F.coalesce(F.col(f"{name}.n"), F.lit(0)).cast("long"))
+    return out.drop(name)

@@ -6,7 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import pick
+from ._spark import pick, releasing
 
 WORD = re.compile(r"[^\W_]+")
 _OBSCURED = re.compile(r"(?<!\S)[^\W\d_]+(?:[\d@$!*.\-_+|]+[^\W\d_]+)+|(?<!\w)[^\W\d_](?:[ .\-*_][^\W\d_]){3,}(?!\w)")
@@ -38,7 +38,7 @@ def _entries(text: str, most: int = 8) -> Counter:
     """A text's candidates for the lexicon, its words, ended by $, and their first 4 to 8 letters, and how often it has each, ``most`` times at most."""
     out: Counter = Counter()
     for w, n in Counter(WORD.findall(text.lower())).items():
-        if len(w) <= 40 and not w.isdigit():
+        if not w.isdigit():
             out[f"{w}$"] += n
             for k in range(4, min(8, len(w)) + 1):
                 out[w[:k]] += n
@@ -327,26 +327,38 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) ->
     return fit([t for *_, t in got], [v for _, _, v, _ in got])
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: toxic likelier) and predicted (score >= threshold) of each row of
-    docs(doc_id, text), and the columns named in ``keep``, unchanged.
+def _scores(shared) -> Callable[[pa.Array], np.ndarray]:
+    own = shared.value
+    weights = Weights(own.entries)
+    return lambda column: own.scores(column.to_pylist(), weights)
 
-    Null, empty and wordless texts have a score as well. Repeated rows are scored each; columns that aren't named aren't read.
+
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: toxic likelier) and predicted (score >= threshold) of each row of docs(doc_id, text).
+
+    Null, empty and wordless texts have a score as well. Repeated rows are scored each; other columns aren't read.
     """
-    spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "text", *(k for k in keep if k not in ("doc_id", "text"))).withColumn("held_out", held_out(F.col("doc_id"))) if "held_out" not in keep else None
-    if rows is None:
-        raise ValueError("held_out is a column of the result")
-    out = rows.schema
-    fields = ["doc_id", "held_out", *(k for k in keep if k != "doc_id")]
-    kinds = ", ".join(f"`{k}` {out[k].dataType.simpleString()}" for k in fields)
-    shared = spark.sparkContext.broadcast(model)
+    rows = pick(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = _scores(shared)
+        for b in batches:
+            scores = scores_of(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    return rows.mapInArrow(releasing(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whatever their names, that score_toxicity() doesn't call toxic."""
+    names, text_at = docs.columns, docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        weights = Weights(own.entries)
+        scores_of = _scores(shared)
         for b in batches:
-            scores = own.scores(b.column(1).to_pylist(), weights)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in fields), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*fields, "score", "predicted"])
+            clean = pa.array(scores_of(b.column(text_at)) < threshold)
+            yield pa.RecordBatch.from_arrays([c.filter(clean) for c in b.columns], names=names)
 
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(releasing(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
