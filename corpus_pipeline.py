@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm import toxicity
 from weft.llm._spark import Stored, table
 from weft.llm.decontaminate import decontaminate
 from weft.llm.jaccard_join import one_of_each
 from weft.llm.line_dedup import dedup_lines
 from weft.llm.mixing import default_domain, default_weights, mix
-from weft.llm.toxicity import score_toxicity, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
