@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .engine import State
 from .sampling import _draw
 
 TRACE = "chain_id long, step long, node_id long, district int, n_cut long, n_boundary long, accepted boolean"
@@ -28,34 +29,21 @@ class FlipChain:
         x, y = k % self.width, k // self.width
         return [k + d for ok, d in ((x > 0, -1), (x < self.width - 1, 1), (y > 0, -self.width), (y < self.height - 1, self.width)) if ok]
 
-    def connected(self, plan: list[int], district: int) -> bool:
-        mine = {k for k, d in enumerate(plan) if d == district}
-        if not mine:
-            return False
-        stack, seen = [next(iter(mine))], set()
-        while stack:
-            if (k := stack.pop()) not in seen:
-                seen.add(k)
-                stack += [n for n in self.neighbours(k) if n in mine and n not in seen]
-        return len(seen) == len(mine)
-
     def run(self, chain_id: int, base: float, steps: int, seed: int) -> list[tuple]:
         n = self.width * self.height
-        plan = [int(k // self.width >= self.height / 2) for k in range(n)]
-        near = [self.neighbours(k) for k in range(n)]
-        cut = sum(plan[a] != plan[b] for a in range(n) for b in near[a]) // 2
-        rows = []
+        near = {k: sorted(self.neighbours(k)) for k in range(n)}
+        s = State(near, {k: int(k // self.width >= self.height / 2) for k in range(n)})
+        ones, rows = sum(s.plan.values()), []
         for step in range(1, steps + 1):
-            boundary = [k for k in range(n) if any(plan[k] != plan[b] for b in near[k])]
-            node = boundary[int(_draw(seed, step, 0) * len(boundary)) % len(boundary)]
-            new = cut + sum(1 if plan[node] == plan[b] else -1 for b in near[node])
-            plan[node] ^= 1
-            ok = abs(2 * sum(plan) - n) <= self.slack * n and _draw(seed, step, 1) < base ** (cut - new) and self.connected(plan, 0) and self.connected(plan, 1)
+            on_boundary = len(s.boundary)
+            node = s.boundary[int(_draw(seed, step, 0) * on_boundary) % on_boundary]
+            old, change = s.plan[node], sum(1 if s.plan[node] == s.plan[b] else -1 for b in near[node])
+            count = ones + (1 - 2 * old)
+            ok = abs(2 * count - n) <= self.slack * n and _draw(seed, step, 1) < base**-change and s.holds_without(node)
             if ok:
-                cut = new
-            else:
-                plan[node] ^= 1
-            rows.append((chain_id, step, node, plan[node], cut, len(boundary), ok))
+                s.flip(node, 1 - old)
+                ones = count
+            rows.append((chain_id, step, node, s.plan[node], s.n_cut, on_boundary, ok))
         return rows
 
 
