@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Iterative operators cut lineage with checkpoint(): in the folder of spark.checkpoint.dir, or a temporary one where that is unset."""
+    """Iterative operators cut lineage with checkpoint(): in the folder of spark.checkpoint.dir, or a temporary one where that is unset and Spark
+    runs on this machine alone; else a ValueError, as executors wouldn't share it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weft-"))
 
 
 class Registry:

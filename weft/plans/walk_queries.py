@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import P
-from ..operators import box_scores, combinatorics, engine, generators, walks
+from ..operators import box_scores, chains, combinatorics, engine, frontier, generators, walks
 from .graph_queries import grid_sql
 from .registry import Registry
 
@@ -227,3 +229,41 @@ def tree_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, start = _columns(spark, 8, 4)
     specs = spark.range(20).select(F.col("id").alias("sample_id"), (F.col("id") + 5).alias("seed"))
     return engine.tree_partitions(specs, edges, start.select("node_id"), 4)
+
+
+def _grids(spark: SparkSession, sizes: list[tuple]) -> DataFrame:
+    """graph_id, u, v of lattices, named by their sizes; s and t are opposite corners."""
+    out = None
+    for size in sizes:
+        g = generators.lattice(spark, *size)
+        rows = g.edges.select(F.lit("x".join(map(str, size))).alias("graph_id"), F.lit(0).alias("s"), F.lit(math.prod(size) - 1).alias("t"), "u", "v")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+# Walks without repeats are enumerated up to 5 x 5; the larger counts are known values.
+_PATHS = """WITH RECURSIVE e AS (SELECT n, i AS a, unnest(list_filter([CASE WHEN i % n < n - 1 THEN i + 1 END, CASE WHEN i % n > 0 THEN i - 1 END, CASE WHEN i + n < n * n THEN i + n END, CASE WHEN i >= n THEN i - n END], lambda x: x IS NOT NULL)) AS b
+  FROM range(2, 6) q(n), range(25) r(i) WHERE i < n * n),
+p AS (SELECT n, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS mask FROM range(2, 6) q(n) UNION ALL SELECT p.n, b, mask | (CAST(1 AS BIGINT) << b) FROM p JOIN e ON e.n = p.n AND a = k WHERE mask & (CAST(1 AS BIGINT) << b) = 0 AND k <> p.n * p.n - 1)
+SELECT n || 'x' || n AS graph_id, CAST(count(*) AS DECIMAL(38,0)) AS n FROM p WHERE k = n * n - 1 GROUP BY p.n UNION ALL SELECT * FROM (VALUES ('6x6', 1262816), ('7x7', 575780564), ('8x8', 789360053252)) v(graph_id, n)"""
+
+
+@R.add("simple_path_counts", _PATHS)
+def simple_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.simple_path_counts(_grids(spark, [(n, n) for n in range(2, 9)])).drop("states")
+
+
+# Known values of the count of partitions of a grid into connected blocks.
+_FLATS = [("2x2", 12), ("3x3", 1434), ("5x3", 538150), ("4x4", 1691690), ("5x5", 19719299768), ("2x2x2", 958), ("3x2x2", 81224)]
+
+
+@R.add("flat_counts", f"SELECT graph_id, CAST(n AS DECIMAL(38,0)) AS n FROM (VALUES {', '.join(map(str, _FLATS))}) v(graph_id, n)")
+def flat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.flat_counts(_grids(spark, [tuple(map(int, k.split("x"))) for k, _ in _FLATS])).drop("states")
+
+
+@R.add("flip_chain_40x40")
+def flip_chain_40x40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of 10,000 steps on 40 x 40 nodes, base 6.96, sizes within a twentieth."""
+    specs = spark.createDataFrame([(1, 6.96, 1)], "chain_id long, base double, seed int")
+    return chains.summary(chains.flip_traces(specs, chains.FlipChain(40, 40, 0.05), 10_000))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.registry import ensure_checkpoints
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -18,13 +19,19 @@ def window_counts(events: DataFrame, every: str = "1 hour", late: str = "30 days
 
 
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of events, read as a stream until what is there is used up; the result is the stream's final table."""
+    """All of events, read as a stream until what is there is used up. Each micro-batch writes the windows that it changed into a folder of its own, so that a batch that is run
+    again replaces its rows; the result is each window's latest row. State ends as the watermark passes; nothing is collected on the driver."""
     stream = spark.readStream.schema(EVENTS).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parquet*")
-    name = f"windows_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weft-')}"
-    query = window_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    ensure_checkpoints(spark)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/windows-{uuid.uuid4().hex}"
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = window_counts(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    rows = spark.read.schema("start timestamp, event_type string, n long, total double, batch long").parquet(f"{folder}/out")
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 4).alias("total"))
 
 
 def last_states(trace: DataFrame) -> DataFrame:
