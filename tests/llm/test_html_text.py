@@ -49,3 +49,22 @@ def test_clustering():
     assert threshold(np.array([1.0, 1.0])) == -np.inf
     assert 2 < threshold(np.array([1.0, 2.0, 9.0, 10.0])) < 9
     assert np.allclose(smoothed(np.ones(7)), 1)
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        html = "<div>" * n + "".join(f"<b><i>word {k}</i>" for k in range(n)) + "</div>" * n
+        began = time.process_time()
+        assert main_text(html).startswith("word 0word 1")
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 20 * max(took(2_000), 0.02)
+
+
+def test_link_paragraph_of_running_text():
+    text = "A sentence that runs on for a while, so that it is plainly part of the article and no menu."
+    html = f"<div><p>{text} One.</p><p><a href=x>The whole paragraph is one link here.</a></p><p>{text} Two.</p></div><p><a href=y>Elsewhere</a></p>"
+    assert main_text(html) == f"{text} One.\nThe whole paragraph is one link here.\n{text} Two."

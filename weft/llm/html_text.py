@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -35,6 +36,9 @@ AWAY = frozenset(
 )
 AWAY_OUTSIDE = frozenset("footer header masthead bottom top".split())
 
+#: Characters of a paragraph that is running text.
+RUNNING = 60
+
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -46,6 +50,10 @@ class Element:
     away: bool  # its text isn't the page's main text
     inside: bool  # of an article or main element
     heading_only: bool = False
+    titled: bool = False  # it's a heading, or within one, of an element of which headings alone count
+
+    def __post_init__(self):
+        self.box: Element = self if self.tag in BLOCKS or not self.parent else self.parent.box  # the block that it stands in
 
 
 @dataclass
@@ -69,6 +77,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.now = Line(self.at)
         self.in_link = 0
+        self.open: Counter = Counter()  # open elements by tag
 
     def _break(self) -> None:
         if any(not p.isspace() for p in self.now.parts):
@@ -100,8 +109,15 @@ class Lines(HTMLParser):
                 e.heading_only = True
             elif tag in FURNITURE or not up.inside:
                 e.away = True
+        e.titled = e.heading_only and (up.titled or tag in HEADINGS)
         return e
 
+    def _leave(self, to: Element) -> None:
+        """Closes what is open within ``to``."""
+        while self.at is not to:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
     def handle_starttag(self, tag, attrs):
         self.now.tags += 1
         if tag in VOID:
@@ -116,17 +132,22 @@ class Lines(HTMLParser):
             if tag not in ("li", "td", "th", "dd", "dt", "tr", "option") or tag in ENDS:
                 self._close_implied(tag, e)
         self.at = self._judge(tag, attrs)
+        self.open[tag] += 1
         if tag in BLOCKS:
             self.now.element = self.at
         self.in_link += tag == "a"
 
     def _close_implied(self, tag: str, e: Element | None) -> None:
         # A block ends an open paragraph; items and cells end those before them.
-        ends = ENDS.get(tag, set()) | {"p"}
+        ends = [x for x in (*ENDS.get(tag, ()), "p") if self.open[x]]
+        if not ends:
+            return
+        to = self.at
         while e and e.tag not in HOLDS and e.parent:
             if e.tag in ends:
-                self.at = e.parent
+                to = e.parent
             e = e.parent
+        self._leave(to)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -139,42 +160,28 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._break()
-        e = self.at
+        e = self.at if self.open[tag] else None
         while e and e.tag != tag:
             # A stray end tag of a small element doesn't end the boxes around it.
             if e.tag in HOLDS and tag not in HOLDS | FURNITURE | {"html"}:
                 return
             e = e.parent
         if e and e.parent:
-            self.at = e.parent
+            self._leave(e.parent)
             if tag in BLOCKS:
                 self.now.element = self.at
         self.in_link = max(0, self.in_link - (tag == "a"))
 
     def handle_data(self, data):
         # Text straight within a line keeps the line's element; what stands in an element to be left out is left out.
-        if self.at.away or self.at.heading_only and not self._in_heading():
+        if self.at.away or self.at.heading_only and not self.at.titled:
             return
         if not self.now.parts:
-            self.now.element = self._box()
+            self.now.element = self.at.box
         self.now.parts.append(data)
         if self.in_link:
             self.now.linked += len(data)
 
-    def _in_heading(self) -> bool:
-        e = self.at
-        while e and e.heading_only:
-            if e.tag in HEADINGS:
-                return True
-            e = e.parent
-        return False
-
-    def _box(self) -> Element:
-        e = self.at
-        while e.parent and e.tag not in BLOCKS:
-            e = e.parent
-        return e
-
     def close(self):
         super().close()
         self._break()
@@ -228,8 +235,11 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
         chosen = inside
     else:
         chosen = [True] * len(lines)
-    # Lines that are links alone, outside running text, are menus whatever their element is.
-    return "\n".join(t for t, x, keep in zip(texts, lines, chosen, strict=True) if keep and (x.element.inside or x.linked < 0.9 * len(t)))
+    # Lines that are links alone are menus whatever their element is, but for paragraphs within running text: beside one of the same box that isn't.
+    plain = linked < 0.9 * length
+    beside = lambda k, n: 0 <= n < len(lines) and plain[n] and length[n] >= RUNNING and lines[n].element.tag == "p" and lines[n].element.parent is lines[k].element.parent
+    running = lambda k: lines[k].element.tag == "p" and (beside(k, k - 1) or beside(k, k + 1))
+    return "\n".join(t for k, t in enumerate(texts) if chosen[k] and (lines[k].element.inside or plain[k] or running(k)))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
