@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality_rules
 from ._spark import table
 
 
@@ -46,9 +46,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import quality_rules
-
-    return quality_rules(table(spark, sf_dir, "documents"), with_text=False)
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+_R = quality_rules.Rules()
+
 _OP3_SQL = r"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM c)
@@ -115,4 +115,23 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
   coalesce(n_matches, 0) AS n_matches, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op10_mixing": mixing.oracle_sql()}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_BLANK = r"'[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'"
+_OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+f AS (SELECT r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+split AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+l AS (SELECT r, line, regexp_extract_all(line, {_WORDS}) AS w, row_number() OVER (PARTITION BY r, line ORDER BY k) AS copy FROM split WHERE regexp_matches(line, {_WORDS})),
+x AS (SELECT r, copy, list_sum(list_transform(w, lambda v: length(v))) AS chars, CAST(len(w) AS DOUBLE) AS n, lower(line) AS low,
+  len(list_filter(regexp_split_to_array(line, {_BLANK}), lambda v: v IN ('|', '›', '»', '·', '•', '>', '::', '->'))) AS nav, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(line, '[^!?]', '', 'g')) AS shouts,
+  NOT regexp_matches(line, '[.!?;:,。！？、；：।؟]') AS unmarked, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stutter, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) AS letters FROM l),
+v AS (SELECT r, copy, chars, copy > {_R.max_repeats} OR nav >= {_R.min_navigation} AND nav > {_R.max_navigation}::DOUBLE * n OR symbols > {_R.max_symbols_per_word}::DOUBLE * n AND n >= 3 OR shouts > {_R.max_shouts_per_word}::DOUBLE * n AND n >= 4
+  OR n >= {_R.long_line_words} AND unmarked OR n >= {_R.stutter_words} AND stutter > {_R.max_stutter}::DOUBLE * n OR n >= {_R.upper_words} AND upper > 2 * n AND upper > {_R.max_upper}::DOUBLE * letters OR n <= 30 AND regexp_matches(low, '{"|".join(quality_rules.BOILERPLATE)}') AS fails FROM x),
+g AS (SELECT r, count(*) FILTER (copy > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost FROM v GROUP BY r),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM (SELECT r, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS win FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5))),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win WHERE c > 1) GROUP BY r),
+b AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(lost, 0) AS lost_chars, n_words < 10 OR 100 * coalesce(n_repeat, 0) > 20 * n_words AS base_failed FROM f LEFT JOIN g USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND lost_chars <= {_R.max_lost}::DOUBLE * word_chars AS kept, CAST(lost_chars AS BIGINT) AS lost_chars FROM b"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op9_quality_rules": _OP9_SQL, "op10_mixing": mixing.oracle_sql()}
