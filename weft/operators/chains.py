@@ -29,6 +29,10 @@ class FlipChain:
         x, y = k % self.width, k // self.width
         return [k + d for ok, d in ((x > 0, -1), (x < self.width - 1, 1), (y > 0, -self.width), (y < self.height - 1, self.width)) if ok]
 
+    def connected(self, plan: list[int], district: int) -> bool:
+        """Whether the district of a plan, a list by node, is connected and not empty."""
+        return State({k: self.neighbours(k) for k in range(len(plan))}, dict(enumerate(plan))).connected(district)
+
     def run(self, chain_id: int, base: float, steps: int, seed: int) -> list[tuple]:
         n = self.width * self.height
         near = {k: sorted(self.neighbours(k)) for k in range(n)}
