@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, plan_queries, set_queries, table_queries, walk_queries
+from .plans import form_queries, graph_queries, plan_queries, set_queries, table_queries, walk_queries
 
-_REGISTRIES = [graph_queries.R, plan_queries.R, set_queries.R, table_queries.R, walk_queries.R]
+_REGISTRIES = [form_queries.R, graph_queries.R, plan_queries.R, set_queries.R, table_queries.R, walk_queries.R]
 
 QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
 ORACLE_SQL = {name: sql for r in _REGISTRIES for name, sql in r.sql.items()}

@@ -45,3 +45,8 @@ def cdiv(a: Column, b: Column) -> Column:
 
 def pair(re: Column, im: Column) -> Column:
     return F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it's used."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -87,3 +87,84 @@ def toggles(spark, n_bits: int, steps: int, chains: int, seed: int = 1) -> DataF
     move = random_unit(seed, F.col("chain_id") * 100_000 + F.col("step"), 1) < 0.5
     rows = rows.withColumn("flip", F.when(move, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
     return rows.withColumn("mask", F.bit_xor("flip").over(Window.partitionBy("chain_id").orderBy("step"))).select("chain_id", F.col("step").cast("long").alias("step"), "mask")
+
+
+EDGE_TRACE = "chain_id long, step long, u long, v long, n_cut long, n_contradictions long, accepted boolean"
+
+
+def _edge_steps(near: dict[int, list[int]], chain_id: int, temperature: float, fugacity: float, steps: int, seed: int) -> Iterator[tuple]:
+    edges = sorted((u, v) for u in near for v in near[u] if u < v)
+    label, kept = {k: k for k in near}, {k: set() for k in near}
+    cut, bad = set(edges), 0
+
+    def reach(start: int) -> set[int]:
+        seen, todo = {start}, [start]
+        while todo:
+            for x in kept[todo.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    for step in range(1, steps + 1):
+        u, v = e = edges[int(_draw(seed, step, 1) * len(edges)) % len(edges)]
+        moves = _draw(seed, step, 0) >= 0.5
+        if moves:
+            # What the toggle does to the edge's own component alone: its nodes' labels, and contradictions at them.
+            if e in cut:
+                part = set() if label[u] == label[v] else reach(u)
+                to, gain = label[v], 1
+            else:
+                kept[u].discard(v)
+                kept[v].discard(u)
+                part = reach(u)
+                if v in part:
+                    part = set()
+                elif label[u] in part:  # a component's label is one of its nodes: the part without it takes a new one
+                    part = reach(v)
+                to, gain = min(part, default=0), -1
+            crossing = [(a, b) for a in part for b in near[a] if b not in part and (min(a, b), max(a, b)) in cut]
+            before = sum(label[a] == label[b] for a, b in crossing)
+            after = sum(to == label[b] for a, b in crossing)
+            change = after - before
+            if gain > 0:  # the edge itself is a contradiction no more, or counted in after
+                change -= 1
+            elif not part:
+                change += 1
+            moves = temperature**change * fugacity**-gain > _draw(seed, step, 2)
+            if moves:
+                for a in part:
+                    label[a] = to
+                bad += change
+                if gain > 0:
+                    cut.discard(e)
+                    kept[u].add(v)
+                    kept[v].add(u)
+                else:
+                    cut.add(e)
+            elif gain < 0:
+                kept[u].add(v)
+                kept[v].add(u)
+        yield chain_id, step, u, v, len(cut), bad, moves
+
+
+def edge_toggles(specs: DataFrame, edges: DataFrame, steps: int, max_edges: int = 1 << 16) -> DataFrame:
+    """The trace of each chain of specs(chain_id, temperature, fugacity, seed) on subsets of edges(u, v): all are cut first; in half of the steps a uniform
+    edge is toggled, and stays so with probability temperature ** (more contradictions) * fugacity ** (more cut edges), 1 at most. A contradiction
+    is a cut edge whose ends the other edges connect. A step works on the component of the toggled edge alone."""
+    half = [(int(r.u), int(r.v)) for r in edges.select("u", "v").limit(max_edges + 1).collect()]
+    if len(half) > max_edges:
+        raise ValueError(f"over {max_edges} edges")
+    near: dict[int, list[int]] = {}
+    for u, v in sorted({(min(e), max(e)) for e in half}):
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    shared = specs.sparkSession.sparkContext.broadcast(near)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                rows = _edge_steps(shared.value, int(r.chain_id), float(r.temperature), float(r.fugacity), steps, int(r.seed))
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in EDGE_TRACE.split(", ")])
+
+    return specs.select("chain_id", "temperature", "fugacity", "seed").mapInPandas(run, EDGE_TRACE)

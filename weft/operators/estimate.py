@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.portable import cdiv, pair
+from ..functions.portable import cdiv, cmul, let, pair
 
 
 def importance_ratio(samples: DataFrame, value: Column, likelihood: Column) -> DataFrame:
@@ -63,11 +63,62 @@ def midpoint_path(spark, levels: int, seed: int = 1, scheme: str = "as_written")
     def normal(k: Column, level: int) -> Column:
         return F.sqrt(-2 * F.log(random_unit(seed, k, 2 * level) + 1e-12)) * F.cos(2 * F.pi() * random_unit(seed, k, 2 * level + 1))
 
-    path = spark.range(2).select(F.col("id").alias("t"), F.when(F.col("id") == 0, 0.0).otherwise(normal(F.col("id"), 0)).alias("pos"))
+    # Rows are intervals; each is split at its midpoint, without a join.
+    path = spark.range(1).select(F.col("id").alias("t"), F.lit(0.0).alias("lo"), normal(F.lit(1), 0).alias("hi"))
     for level in range(1, levels + 1):
         noise = 0.5 / 2**level if scheme == "as_written" else 2 ** (-(level + 1) / 2)
-        path = path.select((F.col("t") * 2).alias("t"), "pos")
-        nxt = path.select((F.col("t") - 2).alias("t"), F.col("pos").alias("to"))
-        mid = path.join(nxt, "t").select((F.col("t") + 1).alias("t"), ((F.col("pos") + F.col("to")) / 2 + normal(F.col("t") + 1, level) * noise).alias("pos"))
-        path = path.union(mid)
+        path = path.withColumn("mid", (F.col("lo") + F.col("hi")) / 2 + normal(2 * F.col("t") + 1, level) * noise)
+        halves = F.array(F.struct((2 * F.col("t")).alias("t"), "lo", F.col("mid").alias("hi")), F.struct((2 * F.col("t") + 1).alias("t"), F.col("mid").alias("lo"), "hi"))
+        path = path.select(F.explode(halves).alias("p")).select("p.t", "p.lo", "p.hi")
+    ends = F.when(F.col("t") == 2**levels - 1, F.array(F.struct("t", F.col("lo").alias("pos")), F.struct((F.col("t") + 1).alias("t"), F.col("hi").alias("pos")))).otherwise(F.array(F.struct("t", F.col("lo").alias("pos"))))
+    path = path.select(F.explode(ends).alias("p")).select("p.t", "p.pos")
     return path.select((F.col("t") / F.lit(float(2**levels))).alias("t"), "pos")
+
+
+def planar_brownian(spark, levels: int, seeds: tuple[int, int] = (1, 2), scheme: str = "as_written") -> DataFrame:
+    """(t, x, y): two independent paths on the same times."""
+    x, y = (midpoint_path(spark, levels, k, scheme).withColumnRenamed("pos", name) for k, name in zip(seeds, "xy", strict=True))
+    return x.join(y, "t")
+
+
+def rotate(z: Column, by: Column, turn: int = 1) -> Column:
+    """z turned by the angle of ``by``; with turn -1 the other way, which takes ``by`` itself to the positive axis."""
+    size = F.sqrt(by["re"] * by["re"] + by["im"] * by["im"])
+    return cmul(z, pair(by["re"] / size, turn * by["im"] / size))
+
+
+def disc_automorphism(x: Column, y: Column, p: Column, turn: int = 1) -> Column:
+    """p after all three are turned by the angle of y and the half plane is moved so that x, on the circle, comes to -1; 1 stays where it is."""
+    up = lambda z, use: let(rotate(z, y, turn), lambda r: let(map_up(r), use))
+    return up(p, lambda w: up(x, lambda o: let(pair(w["re"] - o["re"], w["im"] - o["im"]), map_down)))
+
+
+def align_paths(path: DataFrame, turn: int = 1) -> DataFrame:
+    """(path_id, idx, x, y): disc_automorphism() of the points of path(path_id, idx, x, y) with its first and last point; the last becomes 1."""
+    z = pair(F.col("x"), F.col("y"))
+    ends = path.groupBy("path_id").agg(F.min_by(z, "idx").alias("first"), F.max_by(z, "idx").alias("last"), F.max("idx").alias("end"))
+    moved = F.when(F.col("idx") < F.col("end"), disc_automorphism(F.col("first"), F.col("last"), z, turn)).otherwise(pair(F.lit(1.0), F.lit(0.0)))
+    return path.join(ends, "path_id").withColumn("_z", moved).select("path_id", "idx", F.col("_z.re").alias("x"), F.col("_z.im").alias("y"))
+
+
+def incidence(edges: DataFrame) -> DataFrame:
+    """(i, k, c) of edges(edge_id, u, v): -1 at u and 1 at v. Times its transpose it is the Laplacian, so that it serves as its factor."""
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("i"), F.lit(-1.0).alias("c")), F.struct(F.col("v").alias("i"), F.lit(1.0).alias("c")))).alias("p"), F.col("edge_id").alias("k")).select("p.i", "k", "p.c")
+
+
+def gaussian_products(spark, factor: DataFrame, samples: int, n_nodes: int, seed: int = 1, signed: bool = True) -> DataFrame:
+    """(sample_id, value): products over i of normals whose covariance is C times its transpose, of factor(i, k, c); their mean is the number of perfect
+    matchings, up to the sign (-1) ** (n_nodes div 2) of the Laplacian, taken out by ``signed``."""
+    from ..functions.portable import random_unit
+
+    draw = lambda k: random_unit(seed, F.col("sample_id"), 2 * F.col("k") + k)
+    normals = factor.select("k").distinct().join(spark.range(samples).withColumnRenamed("id", "sample_id"))
+    normals = normals.select("sample_id", "k", (F.sqrt(-2 * F.log(draw(0) + 1e-12)) * F.cos(2 * F.pi() * draw(1))).alias("z"))
+    sums = normals.join(factor, "k").groupBy("sample_id", "i").agg(F.sum(F.col("c") * F.col("z")).alias("s"))
+    sign = -1.0 if signed and n_nodes // 2 % 2 else 1.0
+    return sums.groupBy("sample_id").agg((F.product("s") * sign).alias("value"))
+
+
+def spread(values: DataFrame) -> DataFrame:
+    """One row: mean, population variance and median of value."""
+    return values.agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.median("value").alias("median"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import dense_ids
+
 
 def long_form(rows: DataFrame, row_id: str, features: list[str], label: str) -> DataFrame:
     """(row_id, feature, value, y): a row for each feature."""
@@ -166,3 +168,18 @@ def train_network(rows: DataFrame, features: list[str], label: str, width: int |
         out = out - rate * np.array([g[f"o{k}"] for k in range(width + 1)])
         hidden = hidden - rate * np.array([[g[f"h{k}_{j}"] for j in range(n + 1)] for k in range(width)])
     return hidden, out
+
+
+def class_totals(data: DataFrame) -> DataFrame:
+    """(feature, y, n): how many values of a feature a class has, of data(row_id, feature, value, y)."""
+    return data.groupBy("feature", "y").agg(F.count("value").alias("n"))
+
+
+def tree_weight(tree: DataFrame) -> DataFrame:
+    """One row: the sum of the weights of tree(.., weight); 0 if it has none."""
+    return tree.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
+
+
+def restored_order(results: DataFrame, fold: DataFrame) -> DataFrame:
+    """(row_id, value): results(i, value), numbered through folds one after the other and by row_id within each, back at the rows of fold(row_id, fold)."""
+    return dense_ids(fold.select("fold", "row_id"), "fold", "row_id", name="i").join(results, "i").select("row_id", "value")

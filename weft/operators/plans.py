@@ -82,3 +82,27 @@ def random_monomials(spark: SparkSession, n: int, m: int, d: int, seed: int = 1)
     rows = spark.range(m * n).select(F.expr(f"id div {n}").alias("term"), F.expr(f"cast(id % {n} as int)").alias("k"))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(random_unit(seed, F.col("term"), F.col("k")), "k"))).where(F.col("r") <= d)
     return rows.groupBy("term").agg(F.sum(F.expr("1L << k")).cast("long").alias("mask"))
+
+
+# First plans of chains, and votes, as (node_id, ..) of nodes(node_id, x, y, ..).
+
+
+def all_but_first(nodes: DataFrame) -> DataFrame:
+    """District 1, but for the least node, which is in -1."""
+    return nodes.join(nodes.agg(F.min("node_id").alias("_least"))).select("node_id", F.when(F.col("node_id") == F.col("_least"), -1).otherwise(1).alias("district"))
+
+
+def split_at(nodes: DataFrame, value: Column, limit: float, above: bool = False) -> DataFrame:
+    """District 1 where value is ``limit`` or more, -1 below; with ``above`` 1 only over it."""
+    return nodes.select("node_id", F.when(value > limit if above else value >= limit, 1).otherwise(-1).alias("district"))
+
+
+def middle_box(nodes: DataFrame, size: int, p: float = 0.2, q: float = 0.2 + 0.4**0.5) -> DataFrame:
+    """(node_id, vote, district) of a grid: vote 0 where both coordinates are from p * size to below q * size, else 1; district 0 in the lower half."""
+    inside = lambda c: (F.col(c) >= p * size) & (F.col(c) < q * size)
+    return nodes.select("node_id", F.when(inside("x") & inside("y"), 0).otherwise(1).alias("vote"), F.when(F.col("y") < size / 2, 0).otherwise(1).alias("district"))
+
+
+def straight_path(spark: SparkSession, x: int, y: int, to_x: int) -> DataFrame:
+    """(pos, x, y): the path to the right from (x, y) to (to_x, y)."""
+    return spark.range(to_x - x + 1).select(F.col("id").alias("pos"), (F.col("id") + x).alias("x"), F.lit(y).cast("long").alias("y"))

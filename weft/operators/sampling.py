@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import P, random_unit
-from .connect import components
+from .connect import closure, components
 
 
 def edge_subset_samples(spark: SparkSession, edges: DataFrame, samples: int, seed: int = 1, p: float = 0.5) -> DataFrame:
@@ -140,3 +140,10 @@ def set_partitions(spark: SparkSession, n: int, samples: int, seed: int = 1) ->
     case = "CASE " + " ".join(f"WHEN u < {x!r}D THEN {i + 1}" for i, x in enumerate(limits[:-1].tolist())) + f" ELSE {len(limits)} END"
     urns = spark.range(samples).select(F.col("id").alias("sample_id")).withColumn("u", random_unit(seed, F.col("sample_id"), 0)).withColumn("urns", F.expr(case))
     return urns.select("sample_id", "urns", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("item")).select("sample_id", "item", F.floor(random_unit(seed, F.col("sample_id"), F.col("item")) * F.col("urns")).cast("int").alias("urn"))
+
+
+def is_least(nodes: DataFrame, edges: DataFrame, forest: DataFrame) -> DataFrame:
+    """One row: whether a forest(u, v) weighs as little as the least spanning forest of its closure in edges(u, v, weight)."""
+    least = spanning_forest(nodes, closure(nodes, edges.select("u", "v"), forest).join(edges, ["u", "v"]))
+    own = forest.join(edges, ["u", "v"]).agg(F.sum("weight").alias("own"))
+    return own.join(least.agg(F.sum("weight").alias("least"))).select(F.col("own").eqNullSafe(F.col("least")).alias("is_least"))

@@ -139,6 +139,29 @@ def loop_erasure(walk: DataFrame) -> DataFrame:
     return reached.join(walk, ["walk_id", "idx"]).select("walk_id", "pos", "node_id")
 
 
+def oriented_pairs(series: DataFrame) -> DataFrame:
+    """(series_id, pos, ax, ay, bx, by): the pairs of points of series(series_id, pos, ax, ay, bx, by), the first as it is and each later one turned
+    round if its second point is within 1 of the first point of the pair before, as that stands then. A step either sets the turn, keeps
+    it or reverses it, so that the turn at a place is what was set last and the parity of the reversals since: windows, no loop."""
+    w = Window.partitionBy("series_id").orderBy("pos")
+    near = lambda p: F.pow(F.col("bx") - F.lag(f"{p}x").over(w), 2) + F.pow(F.col("by") - F.lag(f"{p}y").over(w), 2) <= 1
+    s = series.withColumns({"_plain": F.coalesce(near("a"), F.lit(False)), "_turned": F.coalesce(near("b"), F.lit(False))})
+    s = s.withColumn("_sets", F.col("_plain") == F.col("_turned")).withColumn("_run", F.sum(F.col("_sets").cast("int")).over(w))
+    since = Window.partitionBy("series_id", "_run").orderBy("pos")
+    reversals = F.sum((F.col("_plain") & ~F.col("_turned")).cast("int")).over(since)
+    s = s.withColumn("_turn", F.pmod(F.first("_plain").over(since).cast("int") + reversals, F.lit(2)) == 1)
+    either = lambda p, q: F.when(F.col("_turn"), F.col(q)).otherwise(F.col(p)).alias(p)
+    return s.select("series_id", "pos", either("ax", "bx"), either("ay", "by"), either("bx", "ax"), either("by", "ay"))
+
+
+def block_cut(blocks: DataFrame, edges: DataFrame, power: float = 1) -> DataFrame:
+    """(block_id, value): the number of edges(u, v) with one end in the block, to a power; 1 for power 0."""
+    cells = blocks.select("block_id", "node_id").distinct()
+    both = edges.select(F.col("u").alias("node_id"), F.col("v").alias("other")).union(edges.select("v", "u"))
+    out = cells.join(both, "node_id").join(cells.select("block_id", F.col("node_id").alias("other")), ["block_id", "other"], "left_anti").groupBy("block_id").agg(F.count("*").alias("n"))
+    return cells.select("block_id").distinct().join(out, "block_id", "left").select("block_id", F.pow(F.coalesce("n", F.lit(0)).cast("double"), F.lit(float(power))).alias("value"))
+
+
 def merge_sorted(lists: DataFrame) -> DataFrame:
     """(place, list_id, v): lists(list_id, pos, v) merged; places by range partitions and their sizes, not in one task."""
     return dense_ids(lists.select("list_id", "pos", "v"), "v", "list_id", "pos", name="place").select("place", "list_id", "v")

@@ -212,10 +212,11 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.folds(t(spark, sf_dir, "labels"), "doc_id", "quality", 5).select("doc_id", "quality", "fold")
 
 
-@R.add("majority_votes", "WITH v AS (SELECT vec_id AS voter_id, embedding AS w FROM embeddings ORDER BY vec_id LIMIT 9), s AS (SELECT e.vec_id, voter_id, sign(round(list_sum(list_transform(list_zip(e.embedding, v.w), lambda q: q[1]::DOUBLE * q[2]::DOUBLE)), 9)) AS s FROM embeddings e, v) SELECT vec_id, count(*) FILTER (s > 0) AS n_for, count(*) AS n_voters, CAST(sign(sum(s)) AS INTEGER) AS vote FROM s GROUP BY vec_id")
+@R.add("majority_votes", "WITH v AS (SELECT voter_id, list(m ORDER BY k) AS w FROM (SELECT voter_id, k, avg(x::DOUBLE) AS m FROM (SELECT vec_id % 9 AS voter_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY voter_id, k) GROUP BY voter_id), s AS (SELECT e.vec_id, voter_id, sign(round(list_sum(list_transform(list_zip(e.embedding, v.w), lambda q: q[1]::DOUBLE * q[2]::DOUBLE)), 9)) AS s FROM embeddings e, v) SELECT vec_id, count(*) FILTER (s > 0) AS n_for, count(*) AS n_voters, CAST(sign(sum(s)) AS INTEGER) AS vote FROM s GROUP BY vec_id")
 def majority_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
-    voters = e.orderBy("vec_id").limit(9).select(F.col("vec_id").alias("voter_id"), F.col("x").alias("w"))
+    means = e.select((F.col("vec_id") % 9).alias("voter_id"), F.posexplode("x").alias("k", "v")).groupBy("voter_id", "k").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    voters = means.groupBy("voter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("w"))
     return learn.majority_vote(e, voters)
 
 
@@ -291,9 +292,6 @@ def importance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.round("total", 4).alias("total"), F.round("size", 9).alias("size"), F.round("ratio", 3).alias("ratio"))
 
 
-@R.add("brownian_midpoints")
-def brownian_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate.midpoint_path(spark, 6, 5)
 
 
 @R.add("binomial_row", "WITH RECURSIVE p(n, k, c) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, k, CAST(sum(c) AS BIGINT) FROM (SELECT n, k, c FROM p UNION ALL SELECT n, k + 1, c FROM p) WHERE n < 30 GROUP BY n, k) SELECT k, c FROM p WHERE n = 30")
