@@ -56,3 +56,12 @@ def test_long_runs_are_read_to_their_end():
     model = learn({"aa": ["abab baba abba baab"] * 5, "zz": ["yzyz zyzy yzzy zyyz"] * 5})
     text = "ab" * 120 + "yz" * 300
     assert model.predict(text)[0] == "zz" and model.spans(text) == [(0, 240, 0), (240, 840, 1)]
+
+
+def test_runs_are_the_words_without_numerals():
+    from weft.llm.language_id import WORD, letters, runs
+
+    texts = ["", "½ ② ", "plain words", "é½è x²y ①a", "a" * 130 + "Ⅻ" + "b" * 61, "été 12 où", "漢字 かな ㊈ 語", "Ⅳ" * 70]
+    texts += ["x" + chr(c) + "y" for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    for text in texts:
+        assert runs(text) == WORD.findall(letters(text))

@@ -27,6 +27,13 @@ def letters(text: str) -> str:
     """text with blanks for numerals that aren't digits."""
     return text if text.isascii() or not _NUMERAL.search(text) else _NUMERAL.sub(" ", text)
 
+
+def runs(text: str) -> list[str]:
+    """The words of letters(text). Numerals are looked for only if some word isn't letters alone, as the pattern takes each of them into a word."""
+    found = WORD.findall(text)
+    return found if "".join(found).isalpha() else WORD.findall(letters(text))
+
+
 # First code point and script of ranges, in order; "" is a script that none of these names.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, ""), (0x08A0, "arabic"),
@@ -123,7 +130,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most words' spans and a certainty of 0 to 1; und and 0 for a null text or one without a letter."""
-        found = WORD.findall(letters(text.lower())) if text else []
+        found = runs(text.lower()) if text else []
         if not found or not self.langs:
             return "und", 0.0
         scores = self.score(found)
@@ -146,7 +153,7 @@ def learn(samples: dict[str, list[str]]) -> Model:
     words: dict[str, Counter] = {}
     scripts: dict[str, Counter] = {}
     for lang in langs:
-        words[lang] = Counter(w for t in samples[lang] for w in set(WORD.findall(letters(t.lower()))))
+        words[lang] = Counter(w for t in samples[lang] for w in set(runs(t.lower())))
         groups[lang], scripts[lang] = Counter(), Counter()
         for w, n in words[lang].items():
             scripts[lang][script(w[0])] += n
