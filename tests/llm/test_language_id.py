@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -65,3 +66,71 @@ def test_runs_are_the_words_without_numerals():
     texts += ["x" + chr(c) + "y" for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
     for text in texts:
         assert runs(text) == WORD.findall(letters(text))
+
+
+def plain_path(scores, penalty):
+    value, back = scores[0].copy(), [None]
+    for row in scores[1:]:
+        top = int(value.argmax())
+        stay = value >= value[top] - penalty
+        back.append(np.where(stay, np.arange(len(row)), top))
+        value = np.where(stay, value, value[top] - penalty) + row
+    path = [int(value.argmax())]
+    for b in back[:0:-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_paths_are_the_plain_ones_with_ties_and_take_less_time_than_a_step_a_word():
+    rng = np.random.default_rng(7)
+    model = learn({"en": [EN], "de": [DE], "ru": [RU]})
+    for k in range(120):
+        langs, n = int(rng.integers(2, 6)), int(rng.integers(1, 400))
+        s = -rng.integers(0, 7, (n, langs)).astype(float)
+        if k % 2:
+            s[np.arange(n), np.repeat(rng.integers(0, langs, n), int(rng.integers(3, 40)))[:n]] = 0
+        model.penalty = float(rng.choice([0, 1, 5, 12]))
+        assert model._viterbi(s).tolist() == plain_path(s, model.penalty)
+    s = -np.round(rng.random((20_000, 3)) * 6)
+    s[np.arange(20_000), np.repeat([0, 1, 2, 0], 5_000)] = 0
+    model.penalty, took = 12.0, []
+    for run in (lambda: model.path(s).tolist(), lambda: plain_path(s, 12.0)):
+        began = time.process_time()
+        path = run()
+        took.append(time.process_time() - began)
+    assert path == model.path(s).tolist() and took[0] < took[1] / 3
+
+
+def naive_score(model, word):
+    padded, row = f"^{word}$", np.zeros(len(model.langs))
+    for k in range(len(padded) - 2):
+        row = row + model.logs[model.groups.get(padded[k : k + 3], len(model.logs) - 1)]
+    row = row + model.words.get(word, 0)
+    row[~model.scripts.get(script(word[0]), np.ones(len(row), dtype=bool))] = -np.inf
+    return np.maximum(row - row.max(), -model.clip)
+
+
+def test_scores_are_naive_ones_and_their_sums_exact():
+    model = learn({"en": [EN] * 3, "de": [DE] * 3, "ru": [RU] * 3})
+    words = ["the", "über", "быстрая", "x", "漢字", "qqqq", "zz" * 30, "𐐨𐐩", "the", "ab漢"]
+    scores = model.score(words)
+    assert np.abs(scores - [naive_score(model, w) for w in words]).max() < 2**-23
+    assert (scores * 2**24 % 1 == 0).all() and (model.score(words[::-1]) == scores[::-1]).all()
+
+
+def test_texts_scored_together_are_answered_as_alone(monkeypatch):
+    rng = random.Random(5)
+    model = learn({"en": [EN] * 3, "de": [DE] * 3, "ru": [RU] * 3})
+    texts = [None, "", "12 ½", EN, DE + " " + RU, "q", *[" ".join(rng.choices(f"{EN} {DE} {RU}".split(), k=rng.randrange(200))) for _ in range(300)], f"{EN} " * 3000, RU, None]
+    got = list(model.predict_all(iter(texts)))
+    assert got == [model.predict(t) for t in texts]
+    monkeypatch.setattr("weft.llm.language_id.GROUP_SCORES", 21)
+    fresh = learn({"en": [EN] * 3, "de": [DE] * 3, "ru": [RU] * 3})
+    assert list(fresh.predict_all(texts)) == got and (fresh.score([*"abcdefghij"]) == model.score([*"abcdefghij"])).all()
+    monkeypatch.undo()
+    many = [f"{EN} " + "".join(chr(97 + n // 26**i % 26) for i in range(5)) for n in range(1500)]
+    want = [model.predict(t) for t in many]
+    model._row.clear()
+    model.predict("zyxwv the")
+    model._memo = model._memo[:10]  # full: what was scored is forgotten
+    assert list(model.predict_all(many)) == want and "zyxwv" not in model._row

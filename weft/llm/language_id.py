@@ -7,8 +7,10 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,23 @@ def script(char: str) -> str:
     return SCRIPTS[bisect_right(_FROM, ord(char)) - 1][1]
 
 
+#: Scores that are worked on together, a word's of one language each: texts are grouped to about so many, and new words scored in lots of them.
+GROUP_SCORES = 1 << 17
+
+
+def points(words: list[str], before: str = "", after: str = "") -> np.ndarray:
+    """The code points of all words, each between before and after."""
+    return np.frombuffer((before + f"{after}{before}".join(words) + after).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+class _Rows(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        return row
+
+
 @dataclass
 class Model:
     """Languages, the scripts that each is written in, and log probabilities of letter groups and common words by language."""
@@ -62,38 +81,54 @@ class Model:
     words: dict[str, np.ndarray]
     penalty: float = 12.0
     clip: float = 6.0
-    _row: dict[str, int] = field(default_factory=dict, repr=False)
+    _row: _Rows = field(default_factory=_Rows, repr=False)
     _memo: np.ndarray | None = field(default=None, repr=False)
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Scores of lower-case words by language: 0 for a word's best, -clip at least."""
-        new = [w for w in dict.fromkeys(words) if w not in self._row]
-        if new:
+        """Scores of lower-case words by language: 0 for a word's best, -clip at least, in whole 2^-24, so that sums are exact in any order."""
+        first = len(self._row)
+        rows = self._rows(words)
+        if len(self._row) > first:
             room = max(1000, 1_500_000 // len(self.langs))  # memory stays bounded; scores don't depend on it
-            if self._memo is None or len(self._row) + len(new) > len(self._memo):
-                new = list(dict.fromkeys(words))
+            if first and len(self._row) > len(self._memo):
                 self._row.clear()
-                self._memo = np.empty((max(room, len(new)), len(self.langs)))
-            first = len(self._row)
-            self._memo[first : first + len(new)] = self._new(new)
-            self._row.update(zip(new, range(first, first + len(new)), strict=True))
-        return self._memo[[self._row[w] for w in words]]
+                first, rows = 0, self._rows(words)
+            if self._memo is None or len(self._row) > len(self._memo):
+                self._memo = np.empty((max(room, len(self._row)), len(self.langs)))
+            new = list(islice(reversed(self._row), len(self._row) - first))[::-1]
+            lot = max(1, GROUP_SCORES // len(self.langs))
+            for k in range(0, len(new), lot):
+                self._memo[first + k : first + min(k + lot, len(new))] = self._new(new[k : k + lot])
+        return self._memo[rows]
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self._row.__getitem__, words), dtype=np.int64, count=len(words))
+
+    @cached_property
+    def _lookup(self) -> tuple[np.ndarray, np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
+        """What _new looks up: keys of letter groups in order and their rows, rows of common words and what each adds, the
+        languages that each range of SCRIPTS leaves out."""
+        keys = _keys(points(list(self.groups)))[::3] if self.groups else np.empty(0, dtype=np.uint64)
+        order = np.argsort(keys)
+        keys = np.append(keys[order], np.uint64((1 << 64) - 1))  # above any group, so that a search ends on an entry
+        group_rows = np.append(np.fromiter(self.groups.values(), dtype=np.int64, count=len(self.groups))[order], len(self.logs) - 1)
+        added = np.zeros((len(self.words) + 1, len(self.langs)))
+        for k, v in enumerate(self.words.values()):
+            added[k] = v
+        barred = np.array([~self.scripts[x] if x in self.scripts else np.zeros(len(self.langs), dtype=bool) for _, x in SCRIPTS])
+        return keys, group_rows, dict(zip(self.words, range(len(self.words)), strict=True)), added, barred
 
     def _new(self, words: list[str]) -> np.ndarray:
-        rows, starts, none = [], [], len(self.logs) - 1
-        get = self.groups.get
-        for w in words:
-            starts.append(len(rows))
-            w = f"^{w}$"
-            rows += [get(w[k : k + 3], none) for k in range(len(w) - 2)]
-        total = np.add.reduceat(self.logs[rows], starts, axis=0)
-        for k, w in enumerate(words):
-            if w in self.words:
-                total[k] += self.words[w]
-            allowed = self.scripts.get(script(w[0]))
-            if allowed is not None and not allowed.all():
-                total[k, ~allowed] = -np.inf
-        return np.maximum(total - total.max(axis=1, keepdims=True), -self.clip)
+        keys, group_rows, common, added, barred = self._lookup
+        code = points(words, "^", "$")
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(size) - size  # of each word's groups, of which it has one for each letter
+        key = _keys(code)[np.arange(int(size.sum())) + 2 * np.repeat(np.arange(len(words)), size)]
+        at = np.searchsorted(keys, key)
+        total = np.add.reduceat(self.logs[np.where(keys[at] == key, group_rows[at], len(self.logs) - 1)], starts, axis=0)
+        total += added[np.fromiter((common.get(w, -1) for w in words), dtype=np.int64, count=len(words))]
+        total[barred[np.searchsorted(_FROM, code[starts + 2 * np.arange(len(words)) + 1], "right") - 1]] = -np.inf
+        return np.round(np.maximum(total - total.max(axis=1, keepdims=True), -self.clip) * (1 << 24)) / (1 << 24)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(first character, end character, language index) of spans of one language, over all words in order."""
@@ -114,38 +149,97 @@ class Model:
         low = np.minimum.accumulate(np.vstack([np.zeros((1, langs)), gain[:-1]]), axis=0)
         if (gain - low).max() <= self.penalty / 2:
             return np.full(n, best)
+        return self._viterbi(scores)
+
+    def _viterbi(self, scores: np.ndarray) -> np.ndarray:
+        n, langs = scores.shape
         back = np.empty((n, langs), dtype=np.int16)
         value = scores[0].copy()
         own = np.arange(langs)
-        for k in range(1, n):
+        k, step, single = 1, 32, 0
+        while k < n:
             top = int(value.argmax())
-            stay = value >= value[top] - self.penalty
-            back[k] = np.where(stay, own, top)
-            value = np.where(stay, value, value[top] - self.penalty) + scores[k]
+            if single:  # where the leading language changes every few words
+                stay = value >= value[top] - self.penalty
+                back[k] = np.where(stay, own, top)
+                value = np.where(stay, value, value[top] - self.penalty) + scores[k]
+                k, single = k + 1, single - 1
+                continue
+            # As long as top leads, each other language's lead over a switch from top goes by itself: it's a sum of gains
+            # that is kept from falling below 0.
+            gain = scores[k : k + step] - scores[k : k + step, top : top + 1]
+            lead = np.vstack([np.maximum(value - value[top] + self.penalty, 0)[None], gain])
+            np.cumsum(lead, axis=0, out=lead)
+            lead -= np.minimum(np.minimum.accumulate(lead, axis=0), 0)
+            reached = lead[:-1] + gain
+            ahead = reached > self.penalty
+            ahead[:, :top] |= reached[:, :top] == self.penalty
+            found = ahead.any(axis=1)
+            last = int(found.argmax())
+            changed = bool(found[last])
+            count = last + 1 if changed else len(gain)
+            stay = np.vstack([(value >= value[top] - self.penalty)[None], reached[: count - 1] >= 0])
+            back[k : k + count] = np.where(stay, own, top)
+            value = reached[count - 1]
+            k += count
+            if changed and count < 16:
+                single = 64
+            step = 32 if changed else min(2 * step, 4096)
         path = np.empty(n, dtype=np.int64)
-        path[-1] = int(value.argmax())
-        for k in range(n - 1, 0, -1):
-            path[k - 1] = back[k, path[k]]
+        lang, end, switches = int(value.argmax()), n, {}
+        while end:
+            if lang not in switches:
+                switches[lang] = np.flatnonzero(back[1:, lang] != lang) + 1
+            before = int(np.searchsorted(switches[lang], end))
+            begin = int(switches[lang][before - 1]) if before else 0
+            path[begin:end] = lang
+            if begin:
+                lang = int(back[begin, lang])
+            end = begin
         return path
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most words' spans and a certainty of 0 to 1; und and 0 for a null text or one without a letter."""
-        found = runs(text.lower()) if text else []
-        if not found or not self.langs:
-            return "und", 0.0
-        scores = self.score(found)
+        return next(self.predict_all([text]))
+
+    def predict_all(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """predict of each text, in order; the words of many texts are scored together."""
+        found, n = [], 0
+        for text in texts:
+            found.append(runs(text.lower()) if text and self.langs else [])
+            n += len(found[-1])
+            if n * len(self.langs) >= GROUP_SCORES:
+                yield from self._votes(found)
+                found, n = [], 0
+        yield from self._votes(found)
+
+    def _votes(self, found: list[list[str]]) -> Iterator[tuple[str, float]]:
+        words = list(chain.from_iterable(found))
+        every = self.score(words) if words else np.empty((0, len(self.langs)))
+        size = np.fromiter(map(len, words), dtype=float, count=len(words))
+        end = 0
+        for own in found:
+            begin, end = end, end + len(own)
+            yield self._vote(every[begin:end], size[begin:end]) if own else ("und", 0.0)
+
+    def _vote(self, scores: np.ndarray, weight: np.ndarray) -> tuple[str, float]:
+        if len(self.langs) == 1:
+            return self.langs[0], 1.0
         path = self.path(scores)
-        weight = np.fromiter(map(len, found), dtype=float, count=len(found))
         share = np.bincount(path, weights=weight, minlength=len(self.langs))
         best = int(share.argmax())
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0
         margin = scores[path == best]
-        rest = np.delete(margin.sum(axis=0), best)
-        sure = 1 / (1 + math.exp(-min(30.0, float(margin[:, best].sum() - rest.max()) / math.sqrt(len(margin)))))
+        rest = margin.sum(axis=0)
+        own, rest[best] = rest[best], -np.inf
+        sure = 1 / (1 + math.exp(-min(30.0, float(own - rest.max()) / math.sqrt(len(margin)))))
         return self.langs[best], round(float(share[best] / share.sum()) * sure, 6)
 
 
+def _keys(code: np.ndarray) -> np.ndarray:
+    """One number for each three code points that follow one another."""
+    return (code[:-2] << np.uint64(42)) | (code[1:-1] << np.uint64(21)) | code[2:]
+
+
 def learn(samples: dict[str, list[str]]) -> Model:
     """From whole texts by language. A word counts once a text, so that no long or repetitive text outweighs the others."""
     langs = sorted(samples)
@@ -213,7 +307,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            found = [own.predict(t.as_py()) for t in b.column(1)]
+            found = list(own.predict_all(t.as_py() for t in b.column(1)))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(2), "lang_pred": pa.array([x for x, _ in found], type=pa.string()), "score": pa.array([s for _, s in found], type=pa.float64())})
 
     return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
